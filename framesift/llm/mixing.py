@@ -30,9 +30,13 @@ class MixConfig:
     seed: int = 17
 
 
+def row_hash(config: MixConfig = MixConfig()) -> Column:
+    return F.xxhash64(F.lit(config.seed), F.col("doc_id"), F.col("text"))
+
+
 def sized(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """docs with ``_size`` (words) and ``_hash`` (64 bits of id and text)."""
-    return docs.withColumns({"_size": n_words(F.col("text")), "_hash": F.xxhash64(F.lit(config.seed), F.col("doc_id"), F.col("text"))})
+    return docs.withColumns({"_size": n_words(F.col("text")), "_hash": row_hash(config)})
 
 
 def targets(sources: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, secrets, urls
+from . import licenses, mixing, neardup, neighbours, pages, quality, secrets, sentencepieces, toxicity, urls
 from .common import table
 
 
@@ -30,5 +30,37 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op7_license_scans, op8_mixing, op10_url_filters)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Where the public tokenizer files lie; a parameter of the operator.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.encode_documents(table(spark, sf_dir, "documents"), MODEL)
+    return found.select("doc_id", "n_tokens", "n_bytes_fallback", sentencepieces.ids_digest().alias("ids_sha256"), "round_trip", "parity")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_toxicity, op3_secret_scans, op4_html_extraction, op5_minhash_near_dedup,
+        op6_sentencepiece, op7_license_scans, op8_mixing, op9_nearest_neighbours, op10_url_filters,
+    )
+}
 ORACLES: dict[str, str] = {}
