@@ -90,7 +90,7 @@ SUFFIXES = ("Jr.", "Sr.", "II", "III", "Inc.", "Ltd.", "Corp.")
 
 
 def names_in(text: str, titles=TITLES, stops=STOPS, suffixes=SUFFIXES) -> list[str]:
-    """Runs of capitalised words; a stop word or the end of a sentence ends a run, a title doesn't."""
+    """Runs of capitalised words; a stop word or the end of a sentence ends a run, a title doesn't, but starts a new one."""
     found, run = set(), []
 
     def done() -> None:
@@ -105,6 +105,8 @@ def names_in(text: str, titles=TITLES, stops=STOPS, suffixes=SUFFIXES) -> list[s
         if not starts or word in stops:
             done()
             continue
+        if word in titles and run and run[-1] not in titles:
+            done()
         run.append(word)
         if word not in titles and (token[-1] in ".,;:!?)\"'" and word != token):
             done()
