@@ -106,6 +106,7 @@ def xml_getall(s, tag: str) -> Column:
 
 
 def xml_tag(s) -> Column:
+    """XML-TAG."""
     return F.xpath_string(_c(s), F.lit("name(/*)"))
 
 
@@ -161,3 +162,32 @@ def make_element(tag: str, content, **attributes) -> Column:
     head = "".join(f' {k}="{v}"' for k, v in attributes.items())
     safe = F.replace(F.replace(F.replace(_c(content), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.concat(F.lit(f"<{tag}{head}>"), safe, F.lit(f"</{tag}>"))
+
+
+def xml_attributes(s) -> Column:
+    """XML-ATTRIBUTES of the root, as a map."""
+
+    @F.pandas_udf(MapType(StringType(), StringType()))
+    def attributes(x: pd.Series) -> pd.Series:
+        def one(v):
+            tree = None if v is None else xml_tree(v)
+            return None if tree is None else tree[1]
+
+        return x.map(one)
+
+    return attributes(_c(s))
+
+
+def xmltag_name(tag) -> Column:
+    """XMLTAG-NAME of "prefix:name" or "{namespace}name"."""
+    return F.regexp_extract(_c(tag), r"([^:}]*)$", 1)
+
+
+def xmltag_namespace(tag) -> Column:
+    """XMLTAG-NAMESPACE; null without one."""
+    return F.nullif(F.regexp_extract(_c(tag), r"^(?:\{([^}]*)\}|([^:]*):)", 1), F.lit(""))
+
+
+def xmltag_match(a, b) -> Column:
+    """XMLTAG-MATCH?: the same name, whatever the case."""
+    return F.lower(xmltag_name(a)) == F.lower(xmltag_name(b))

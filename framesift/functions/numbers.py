@@ -18,15 +18,17 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def add(*xs) -> Column:
+    """+."""
     return reduce(lambda a, b: a + b, map(_c, xs), F.lit(0))
 
 
 def subtract(first, *rest) -> Column:
-    """With one argument, its negative."""
+    """-; with one argument, its negative."""
     return reduce(lambda a, b: a - b, map(_c, rest), _c(first)) if rest else -_c(first)
 
 
 def multiply(*xs) -> Column:
+    """*."""
     return reduce(lambda a, b: a * b, map(_c, xs), F.lit(1))
 
 
@@ -64,6 +66,7 @@ def denominator(q: Column) -> Column:
 
 
 def float_divide(x, y) -> Column:
+    """FLOAT/."""
     return F.try_divide(_c(x).cast("double"), _c(y).cast("double"))
 
 
@@ -86,18 +89,22 @@ def modulo(x, y) -> Column:
 
 
 def minimum(*xs) -> Column:
+    """MIN."""
     return F.least(*map(_c, xs)) if len(xs) > 1 else _c(xs[0])
 
 
 def maximum(*xs) -> Column:
+    """MAX."""
     return F.greatest(*map(_c, xs)) if len(xs) > 1 else _c(xs[0])
 
 
 def increment(x) -> Column:
+    """1+."""
     return _c(x) + 1
 
 
 def decrement(x) -> Column:
+    """-1+, 1-."""
     return _c(x) - 1
 
 
@@ -205,3 +212,106 @@ def string_to_number(s, radix: int = 10) -> Column:
     body = F.regexp_replace(t, "^-", "")
     value = F.conv(body, radix, 10).try_cast("long")
     return F.when(F.lower(t).rlike(f"^-?[{digits}]+$"), F.when(t.startswith("-"), -value).otherwise(value))
+
+
+def floor(x) -> Column:
+    return F.floor(_c(x))
+
+
+def ceiling(x) -> Column:
+    return F.ceil(_c(x))
+
+
+def log(x) -> Column:
+    """LOG: natural; null for what is not positive."""
+    return F.log(_c(x))
+
+
+def exp(x) -> Column:
+    return F.exp(_c(x))
+
+
+def sqrt(x) -> Column:
+    return F.sqrt(_c(x))
+
+
+def sin(x) -> Column:
+    return F.sin(_c(x))
+
+
+def cos(x) -> Column:
+    return F.cos(_c(x))
+
+
+def tan(x) -> Column:
+    return F.tan(_c(x))
+
+
+def asin(x) -> Column:
+    return F.asin(_c(x))
+
+
+def acos(x) -> Column:
+    return F.acos(_c(x))
+
+
+def atan(x) -> Column:
+    return F.atan(_c(x))
+
+
+def atan2(y, x) -> Column:
+    return F.atan2(_c(y), _c(x))
+
+
+def real_part(z: Column) -> Column:
+    return z["re"]
+
+
+def imag_part(z: Column) -> Column:
+    return z["im"]
+
+
+def rationalize(x, tolerance: float) -> Column:
+    """RATIONALIZE: (num, den) of the simplest denominator up to 1,000 whose fraction lies within the tolerance."""
+    v = _c(x).cast("double")
+    dens = F.filter(F.sequence(F.lit(1), F.lit(1000)), lambda d: F.abs(F.round(v * d) / d - v) <= tolerance)
+    den = F.get(dens, F.lit(0)).cast("long")
+    return F.when(den.isNotNull(), F.struct(F.round(v * den).cast("long").alias("num"), den.alias("den")))
+
+
+_KINDS = {"integer": ("tinyint", "smallint", "int", "bigint"), "real": ("tinyint", "smallint", "int", "bigint", "float", "double"), "inexact": ("float", "double")}
+
+
+def _of_kind(x, kind: str) -> Column:
+    c = _c(x)
+    return c.isNotNull() & (F.typeof(c).isin(*_KINDS[kind]) | ((F.typeof(c).startswith("decimal")) if kind != "inexact" else F.lit(False)))
+
+
+def is_number(x) -> Column:
+    return _of_kind(x, "real")
+
+
+def is_integer(x) -> Column:
+    return _of_kind(x, "integer")
+
+
+def is_real(x) -> Column:
+    return _of_kind(x, "real")
+
+
+def is_rational(x) -> Column:
+    """RATIONAL?: an integer, or an exact quotient (num, den)."""
+    return _of_kind(x, "integer") | F.typeof(_c(x)).startswith("struct<num:")
+
+
+def is_complex(x) -> Column:
+    """COMPLEX?: a number, or a struct (re, im)."""
+    return _of_kind(x, "real") | F.typeof(_c(x)).startswith("struct<re:")
+
+
+def is_exact(x) -> Column:
+    return _of_kind(x, "integer")
+
+
+def is_inexact(x) -> Column:
+    return _of_kind(x, "inexact")

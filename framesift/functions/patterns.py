@@ -71,10 +71,12 @@ def subst(p, new: str) -> Form:
 
 
 def match_case(p) -> Form:
+    """MATCH-CASE, MC."""
     return Form("flags", ("-i", p))
 
 
 def ignore_case(p) -> Form:
+    """IGNORE-CASE, IC."""
     return Form("flags", ("i", p))
 
 
@@ -102,6 +104,7 @@ def char_not(chars: str) -> Raw:
 
 
 def char_not_star(chars: str) -> Raw:
+    """CHAR-NOT*."""
     return Raw(f"[^{re.escape(chars)}]*")
 
 
@@ -117,12 +120,12 @@ CAPWORD, COMPOUND_WORD, MAILID = Raw(r"(?-i:\p{Lu}[\p{L}'-]*)"), Raw(r"\p{L}+(?:
 
 
 def one_or_more(p: Raw) -> Raw:
-    """ISSPACE+, ISALNUM+ and their like: a maximal run."""
+    """ISSPACE+, ISALNUM+, ISALPHA+, ISDIGIT+, ISWORD+, ISPUNCT+, ISCNTRL+, ISUPPER+, ISLOWER+: a maximal run."""
     return Raw(f"(?:{p.body})++")
 
 
 def compile_pattern(p, spacing: bool = False) -> str:
-    """The regular expression of a pattern, without flags."""
+    """TX-CLOSURE: the regular expression of a pattern, without flags."""
     go = lambda x: compile_pattern(x, spacing)
     if isinstance(p, Raw):
         return p.body
@@ -241,7 +244,7 @@ def gather(p, s) -> Column:
 
 
 def segment(s, p=None) -> Column:
-    """SEGMENT: the pieces between matches; without a pattern, the runs of letters and digits."""
+    """SEGMENT, TX-SEGMENT: the pieces between matches; without a pattern, the runs of letters and digits."""
     if p is None:
         return F.regexp_extract_all(_c(s), F.lit(f"[{WORDS}]+"), F.lit(0))
     return F.filter(F.split(_c(s), _regex(p)), lambda x: x != "")
@@ -253,6 +256,25 @@ def csegment(s) -> Column:
 
 
 def fragment(s, p=None) -> Column:
-    """FRAGMENT: text and separators in turn."""
+    """FRAGMENT, TX-FRAGMENT: text and separators in turn."""
     sep = f"[^{WORDS}]+" if p is None else _regex(p)
     return F.regexp_extract_all(_c(s), F.lit(rf"(?s)(?:{sep})|(?:(?!{sep}).)+"), F.lit(0))
+
+
+def canonical(s) -> Column:
+    """CANONICAL, IGNORE-DIACRITICS, IGNORE-SPACING, ID: a text as patterns see it that ignore case, accents and spacing;
+    match against it what has gone through it too. Without it accents and spacing count (MATCH-DIACRITICS, MD, MATCH-SPACING, MS)."""
+    from .strings import std_string
+
+    return std_string(s)
+
+
+def in_hashset(tokens, words) -> Column:
+    """HASHSET as a pattern: the tokens that are in a small list of words; HASHSET-NOT keeps the others. For large sets
+    explode the tokens and use ``operators.tables.accept`` and ``filter_``."""
+    return F.filter(_c(tokens), lambda x: x.isin(*words))
+
+
+def not_in_hashset(tokens, words) -> Column:
+    """HASHSET-NOT."""
+    return F.filter(_c(tokens), lambda x: ~x.isin(*words))

@@ -30,30 +30,31 @@ def third(a) -> Column:
 
 
 def find(item, a) -> Column:
-    """FIND, MEMBER?."""
+    """FIND, CL-FIND, MEMBER?."""
     return F.coalesce(F.array_contains(_c(a), item), F.lit(False))
 
 
 def position(item, a) -> Column:
-    """POSITION: from 0; null if absent."""
+    """POSITION, CL-POSITION: from 0; null if absent."""
     return F.nullif(F.array_position(_c(a), item), F.lit(0)) - 1
 
 
 def search(part, a) -> Column:
-    """SEARCH: where a sub-sequence starts, from 0; null if absent."""
+    """SEARCH, CL-SEARCH: where a sub-sequence starts, from 0; null if absent."""
     p, s = _c(part), _c(a)
     starts = F.when(F.size(s) >= F.size(p), F.sequence(F.lit(0), F.size(s) - F.size(p))).otherwise(F.array().cast("array<int>"))
     return F.get(F.filter(starts, lambda i: F.slice(s, i + 1, F.size(p)) == p), F.lit(0))
 
 
 def mismatch(a, b) -> Column:
-    """MISMATCH: the first place where two sequences differ; null if they don't."""
+    """MISMATCH, CL-MISMATCH: the first place where two sequences differ; null if they don't."""
     x, y = _c(a), _c(b)
     differ = F.filter(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y))), lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)) | ((i < F.size(x)) != (i < F.size(y))))
     return F.get(differ, F.lit(0))
 
 
 def count(item, a) -> Column:
+    """COUNT, CL-COUNT."""
     return F.size(F.filter(_c(a), lambda x: x == item))
 
 
@@ -129,7 +130,7 @@ def subseq(a, start: int, end: int | None = None) -> Column:
 
 
 def typed_vector(kind: str, *xs) -> Column:
-    """INT-, SHORT-, FLOAT- and DOUBLE-VECTOR."""
+    """INT-VECTOR, SHORT-VECTOR, FLOAT-VECTOR, DOUBLE-VECTOR."""
     return F.array(*map(_c, xs)).cast(f"array<{kind}>")
 
 
@@ -166,3 +167,89 @@ def record_tag(r: Column) -> Column:
 def record_data(r: Column, tag: str | None = None) -> Column:
     """Null where the tag is another."""
     return r["data"] if tag is None else F.when(r["tag"] == tag, r["data"])
+
+
+def fourth(a) -> Column:
+    return elt(a, 3)
+
+
+def fifth(a) -> Column:
+    return elt(a, 4)
+
+
+def length(a) -> Column:
+    """LENGTH."""
+    return F.size(_c(a))
+
+
+def list_(*xs) -> Column:
+    """LIST, LIST->VECTOR, VECTOR->LIST: lists and vectors are both arrays."""
+    return F.array(*map(_c, xs))
+
+
+def list_star(*xs) -> Column:
+    """LIST*: the last argument is the tail."""
+    return F.concat(F.array(*map(_c, xs[:-1])), _c(xs[-1]))
+
+
+def member(item, a) -> Column:
+    """MEMBER, MEMQ, MEMV: the tail from the first occurrence on; null if absent."""
+    at = F.array_position(_c(a), item)
+    return F.when(at > 0, F.slice(_c(a), at.cast("int"), F.size(_c(a))))
+
+
+def set_car(pair: Column, value) -> Column:
+    """SET-CAR!: a changed copy."""
+    return pair.withField("car", value if isinstance(value, Column) else F.lit(value))
+
+
+def set_cdr(pair: Column, value) -> Column:
+    """SET-CDR!: a changed copy."""
+    return pair.withField("cdr", value if isinstance(value, Column) else F.lit(value))
+
+
+def make_typed_vector(kind: str, size: int, init=0) -> Column:
+    """MAKE-INT-VECTOR, MAKE-SHORT-VECTOR, MAKE-FLOAT-VECTOR, MAKE-DOUBLE-VECTOR."""
+    return F.array_repeat(F.lit(init), size).cast(f"array<{kind}>")
+
+
+def _is(x, *starts: str) -> Column:
+    from functools import reduce
+
+    c = _c(x)
+    return c.isNotNull() & reduce(lambda a, b: a | b, (F.typeof(c).startswith(s) for s in starts))
+
+
+def is_null(x) -> Column:
+    """NULL?, VOID?: absent, or an empty list."""
+    return _c(x).isNull()
+
+
+def is_vector(x) -> Column:
+    """VECTOR?, LIST?, SEQUENCE?."""
+    return _is(x, "array")
+
+
+def is_string(x) -> Column:
+    """STRING?, SYMBOL?, CHARACTER?."""
+    return _is(x, "string")
+
+
+def is_boolean(x) -> Column:
+    return _is(x, "boolean")
+
+
+def is_packet(x) -> Column:
+    return _is(x, "binary")
+
+
+def is_pair(x) -> Column:
+    return _is(x, "struct<car:")
+
+
+def is_record(x) -> Column:
+    return _is(x, "struct<tag:")
+
+
+def is_slotmap(x) -> Column:
+    return _is(x, "map", "struct")

@@ -62,7 +62,8 @@ def list_to_string(a) -> Column:
 
 
 def string_compare(op: str, a, b, ci: bool = False) -> Column:
-    """STRING=?, STRING<?, ... and their -CI forms: ordinary order by code point (not the total order of sets)."""
+    """STRING=?, STRING<?, STRING>?, STRING<=?, STRING>=?, STRING-CI=?, STRING-CI<?, STRING-CI>?, STRING-CI<=?, STRING-CI>=?,
+    and CHAR=?, CHAR<?, CHAR>?, CHAR<=?, CHAR>=?, CHAR-CI=?, CHAR-CI<?, CHAR-CI>?, CHAR-CI<=?, CHAR-CI>=?: ordinary order by code point (not the total order of sets)."""
     x, y = (F.lower(_c(a)), F.lower(_c(b))) if ci else (_c(a), _c(b))
     return {"=": x == y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
 
@@ -80,10 +81,12 @@ def has_suffix(suffix, s) -> Column:
 
 
 def string_upcase(s) -> Column:
+    """STRING-UPCASE, CHAR-UPCASE."""
     return F.upper(_c(s))
 
 
 def string_downcase(s) -> Column:
+    """STRING-DOWNCASE, CHAR-DOWNCASE."""
     return F.lower(_c(s))
 
 
@@ -109,6 +112,7 @@ def string_base(s: pd.Series) -> pd.Series:
 
 
 def string_lower_base(s) -> Column:
+    """STRING-LOWER-BASE, CHAR-LOWER-BASE."""
     return F.lower(string_base(_c(s)))
 
 
@@ -307,7 +311,7 @@ def convert_entities(s) -> Column:
 
 
 def hash_value(x) -> Column:
-    """HASH-LISP, HASH-DTYPE: a portable structural hash (values are this engine's own)."""
+    """HASH-LISP, HASH-DTYPE, HASH-DTYPE2, HASH-DTYPE3: a portable structural hash (values are this engine's own)."""
     return F.xxhash64(_c(x))
 
 
@@ -318,3 +322,19 @@ def md5(s) -> Column:
 def get_mail_ids(s) -> Column:
     """GET-MAILIDS: the set of mail and message ids."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_c(s), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]"), F.lit(0))))
+
+
+def packet_set(b, i: int, value: int) -> Column:
+    """PACKET-SET!: a changed copy."""
+    h = F.hex(_c(b))
+    return F.unhex(F.overlay(h, F.lit(f"{value:02X}"), 2 * i + 1, 2))
+
+
+def symbol(s) -> Column:
+    """STRING->SYMBOL, INTERN: names are upper-cased strings; SYMBOL->STRING gives them back."""
+    return F.upper(_c(s))
+
+
+def string_copy(s) -> Column:
+    """STRING-COPY, QSTRING, ZSTRING, COPY-LISP: values don't change, so a copy is the value."""
+    return _c(s)

@@ -155,3 +155,42 @@ def mp_call(f: Callable[..., Column], name: str, *args: tuple[DataFrame, str]) -
 def do_results(df: DataFrame, body: Callable, schema: str) -> DataFrame:
     """DO-CHOICES, DO-RESULTS: a body over batches of rows; prefetching is the scan's."""
     return df.mapInPandas(body, schema)
+
+
+def parallel(*bodies: Callable[[], DataFrame]) -> DataFrame:
+    """PARALLEL, SPAWN: bodies run as Spark jobs at the same time, and their results are united.
+
+    Each body's result is cached by its own thread, so the union reads what is there.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(body: Callable[[], DataFrame]) -> DataFrame:
+        df = body().cache()
+        df.foreachPartition(lambda _: None)
+        return df
+
+    with ThreadPoolExecutor(max_workers=len(bodies)) as pool:
+        return choice(*pool.map(run, bodies))
+
+
+def nd_call(df: DataFrame, by: list[str], value: str, f: Callable[[Column], Column], name: str) -> DataFrame:
+    """NDCALL: a function of the whole set of each key."""
+    return df.groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("_s")).select(*by, f(F.col("_s")).alias(name))
+
+
+class CallCache:
+    """CACHECALL, CACHECALL1, CACHECALL-KEY, CACHECALL-CLEAR!, CACHECALL-CLEAR-ALL!, SCACHE: results of calls that give
+    DataFrames, cached by function and arguments."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple, DataFrame] = {}
+
+    def call(self, f: Callable[..., DataFrame], *args, key=None) -> DataFrame:
+        k = (f, key if key is not None else args)
+        if k not in self.held:
+            self.held[k] = f(*args).cache()
+        return self.held[k]
+
+    def clear(self, f: Callable | None = None) -> None:
+        for k in [k for k in self.held if f is None or k[0] is f]:
+            self.held.pop(k).unpersist()

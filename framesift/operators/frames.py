@@ -72,7 +72,7 @@ class FrameStore:
         return out
 
     def test(self, slots: list[str], values: list) -> DataFrame:
-        """TEST, FTEST, FRAME-TEST, FD:MULTI-TEST: frames with any of the values in any of the slots."""
+        """TEST, %TEST, FTEST, FCHECK, FRAME-TEST, FD:MULTI-TEST: frames with any of the values in any of the slots."""
         plain = [s for s in slots if s not in self.computed]
         found = self.slots.filter(F.col("slot").isin(*plain) & F.col("value").isin(*map(str, values))).select("oid")
         for s in slots:
@@ -107,7 +107,7 @@ class FrameStore:
         return self.slots.filter((F.col("slot") == slot) & (F.col("value") == name)).select("oid").distinct()
 
     def export_frames(self) -> DataFrame:
-        """EXPORT-FRAME: (oid, json)."""
+        """EXPORT-FRAME, XF: (oid, json)."""
         return self.do_slots().groupBy("oid").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "values"))))).alias("json"))
 
     @staticmethod
@@ -120,7 +120,7 @@ class FrameStore:
     # writing
 
     def add(self, rows: DataFrame) -> FrameStore:
-        """ADD!, FRAME-ADD!, %ADD, FADD!: set union."""
+        """ADD!, FRAME-ADD!, PADD!, %ADD, FADD!: set union."""
         return self.with_rows(self.slots.unionByName(rows.select(*SLOTS)).distinct())
 
     def assert_(self, rows: DataFrame, validators: dict[str, Column] | None = None, effects: Callable[[DataFrame], DataFrame] | None = None) -> FrameStore:
@@ -139,11 +139,11 @@ class FrameStore:
         return self.drop(rows.select(*SLOTS).unionByName(effects(rows).select(*SLOTS)))
 
     def set_(self, rows: DataFrame) -> FrameStore:
-        """FRAME-SET!, FSET!, %SET!: the slot's values become exactly these."""
+        """FRAME-SET!, FSET!, PSET!, %SET!: the slot's values become exactly these."""
         return self.with_rows(self.zap(rows).slots.unionByName(rows.select(*SLOTS).distinct()))
 
     def zap(self, keys: DataFrame) -> FrameStore:
-        """FRAME-ZAP!: from (oid, slot)."""
+        """FRAME-ZAP!, FZAP!: from (oid, slot)."""
         return self.with_rows(self.slots.join(keys.select("oid", "slot").distinct(), ["oid", "slot"], "left_anti"))
 
     def use_frames(self, named: DataFrame, slot: str = "obj-name") -> FrameStore:
@@ -168,7 +168,7 @@ class FrameStore:
     # computed slots
 
     def inverse_get(self, slot: str, inverse: str) -> DataFrame:
-        """FD:INVERSE-GET: stored values, and the frames whose inverse slot points here."""
+        """FD:INVERSE-GET, FD:INV-GET: stored values, and the frames whose inverse slot points here."""
         back = self.slots.filter(F.col("slot") == inverse).select(F.col("value").alias("oid"), F.col("oid").cast("string").alias("value"))
         return self.pget(slot).select(F.col("oid").cast("string").alias("oid"), "value").unionByName(back).distinct()
 
@@ -192,6 +192,58 @@ class FrameStore:
         """FD:CAR-GET, FD:PAIRED-GET on values "car=cdr"; what is no pair counts itself."""
         return self.pget(slot).select("oid", F.substring_index("value", "=", 1).alias("value")).distinct()
 
+    def assoc_test(self, slot: str, key: str, value: str) -> DataFrame:
+        """FD:ASSOC-TEST: frames whose entry for the key has the value."""
+        return self.assoc_get(slot, key).filter(F.col("value") == value).select("oid")
+
+    def assoc_add(self, slot: str, key: str, rows: DataFrame) -> FrameStore:
+        """FD:ASSOC-ADD: from (oid, value)."""
+        return self.add(rows.select("oid", F.lit(slot).alias("slot"), F.concat(F.lit(f"{key}="), "value").alias("value")))
+
+    def assoc_drop(self, slot: str, key: str, rows: DataFrame) -> FrameStore:
+        """FD:ASSOC-DROP."""
+        return self.drop(rows.select("oid", F.lit(slot).alias("slot"), F.concat(F.lit(f"{key}="), "value").alias("value")))
+
+    def paired_test(self, slot: str, value: str) -> DataFrame:
+        """FD:PAIRED-TEST, FD:CAR-TEST."""
+        return self.car_get(slot).filter(F.col("value") == value).select("oid")
+
+    def paired_drop(self, slot: str, rows: DataFrame) -> FrameStore:
+        """FD:PAIRED-DROP: every pair that begins with a value, or the value itself."""
+        gone = rows.select("oid", F.col("value").alias("_car")).distinct()
+        cars = self.slots.filter(F.col("slot") == slot).withColumn("_car", F.substring_index("value", "=", 1))
+        return self.drop(cars.join(gone, ["oid", "_car"], "left_semi"))
+
+    def inverse_test(self, slot: str, inverse: str, value: str) -> DataFrame:
+        """FD:INVERSE-TEST, FD:INV-TEST, FD:INV-GET."""
+        return self.inverse_get(slot, inverse).filter(F.col("value") == value).select("oid")
+
+    def cached_test(self, slot: str, value: str) -> DataFrame:
+        """FD:CACHED-TEST, FD:CACHABLE-TEST."""
+        return self.cachable_get(slot).filter(F.col("value") == value).select("oid")
+
+    def with_adjunct(self, slot: str, rows: DataFrame) -> FrameStore:
+        """FD:IX-GET, FD:IX-TEST, REGISTER-ADJUNCT!: a slot whose values lie in a table (oid, value) of their own."""
+        return FrameStore(self.slots, self.computed | {slot: lambda _: rows.select("oid", "value")})
+
+    def modify_frames(self, oids: DataFrame, slot: str, value: Column) -> FrameStore:
+        """MODIFY-FRAME: new values of a slot, computed from the old, for given frames."""
+        old = self.slots.filter(F.col("slot") == slot).join(oids.select("oid").distinct(), "oid", "left_semi")
+        return self.set_(old.withColumn("value", value))
+
+    def make_frames(self, oids: DataFrame, **slots: str) -> FrameStore:
+        """MAKE-FRAME, FRAME-CREATE, NEW-FRAME: frames with the same given slots."""
+        pairs = F.array(*(F.struct(F.lit(k).alias("slot"), F.lit(v).alias("value")) for k, v in slots.items()))
+        return self.add(oids.select("oid", F.explode(pairs).alias("p")).select("oid", "p.slot", "p.value"))
+
+
+def just_oids(values: DataFrame, pools: DataFrame, value: str = "value") -> DataFrame:
+    """JUST-OIDS, OID?: values that are ids in one of the registered pools."""
+    from .pools import get_pool
+
+    ids = values.select(F.col(value).try_cast("long").alias("oid")).filter("oid is not null")
+    return get_pool(ids, pools).select("oid")
+
 
 def record_to_frame(oid: Column, record: Column, slots: list[str], parsers: dict[str, str] | None = None) -> list[Column]:
     """RECORD->FRAME: columns for a record (array of strings): empty strings are absent, parsers are SQL types."""

@@ -43,27 +43,29 @@ class Index:
         return Index(reduce(lambda a, b: a.unionByName(b), (i.postings for i in indices)))
 
     def get(self, *keys: tuple[str, str]) -> DataFrame:
-        """INDEX-GET: oids under any of the keys (slot, value)."""
+        """INDEX-GET, ISERVER-GET, ISERVER-BULK-GET, IXSERVER-GET, IXSERVER-BULK-GET: oids under any of the keys (slot, value)."""
         hit = reduce(lambda a, b: a | b, ((F.col("slot") == s) & (F.col("value") == str(v)) for s, v in keys))
         return self.postings.filter(hit).select("oid").distinct()
 
     def get_size(self, slots: list[str] | None = None) -> DataFrame:
-        """INDEX-GET-SIZE: postings per key; over a compound index sizes add up without removing repeats."""
+        """INDEX-GET-SIZE, ISERVER-GET-SIZE, IXSERVER-GET-SIZE: postings per key; over a compound index sizes add up without removing repeats."""
         rows = self.postings if slots is None else self.postings.filter(F.col("slot").isin(*slots))
         return rows.groupBy("slot", "value").agg(F.count("*").alias("n"))
 
     def keys(self) -> DataFrame:
+        """INDEX-KEYS, ISERVER-KEYS, IXSERVER-KEYS."""
         return self.postings.select("slot", "value").distinct()
 
     def add(self, keys: DataFrame, oids: DataFrame) -> Index:
-        """INDEX-ADD!: each of a set of keys (slot, value) gets each of the oids."""
+        """INDEX-ADD!, ISERVER-ADD!, IXSERVER-ADD!: each of a set of keys (slot, value) gets each of the oids."""
         return Index(self.postings.unionByName(keys.crossJoin(oids.select("oid")).select(*POSTINGS)).distinct())
 
     def add_rows(self, rows: DataFrame) -> Index:
+        """ISERVER-BULK-ADD!, IXSERVER-BULK-ADD!."""
         return Index(self.postings.unionByName(rows.select(*POSTINGS)).distinct())
 
     def drop(self, rows: DataFrame) -> Index:
-        """INDEX-DROP!."""
+        """INDEX-DROP!, ISERVER-DROP!, IXSERVER-DROP!."""
         return Index(self.postings.join(rows.select(*POSTINGS), POSTINGS, "left_anti"))
 
     def zap(self, keys: DataFrame) -> Index:
@@ -95,12 +97,12 @@ class Index:
         return self.postings.select("oid", "slot", "value")
 
     def write(self, path: str, buckets: int | None = None) -> None:
-        """MAKE-FILE-INDEX, COMMIT-INDEX, repack: partitioned by slot, sorted by value, without repeats."""
+        """MAKE-FILE-INDEX, COMMIT-INDEX, COMMIT-INDICES, repack: partitioned by slot, sorted by value, without repeats."""
         rows = self.postings.distinct()
         rows = rows.repartition(buckets, "slot", "value") if buckets else rows.repartition("slot", "value")
         rows.sortWithinPartitions("slot", "value", "oid").write.mode("overwrite").partitionBy("slot").parquet(path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
-        """OPEN-INDEX, USE-INDEX, SYNC-INDEX."""
+        """OPEN-INDEX, USE-INDEX, SYNC-INDEX, REVERT-INDEX: what the store holds."""
         return Index(spark.read.parquet(path))

@@ -14,7 +14,7 @@ from ..scratch import shared_table
 
 
 def catalog(spark: SparkSession, rows: list[tuple[int, int, str]]) -> DataFrame:
-    """USE-POOL, ALL-POOLS: (base, capacity, label) of the registered pools."""
+    """USE-POOL, ALL-POOLS, GET-POOLS, NAME->POOL, POOL-LABEL, POOL-ID: (base, capacity, label) of the registered pools."""
     return spark.createDataFrame(rows, "base long, capacity long, label string")
 
 
@@ -48,17 +48,17 @@ def statistics(pool: DataFrame, capacity: int) -> DataFrame:
 
 
 def oid_value(pool: DataFrame, oids: DataFrame) -> DataFrame:
-    """OID-VALUE, FETCH-OIDS, PREFETCH."""
+    """OID-VALUE, FETCH-OIDS, LOAD-OID, PREFETCH, POOL-DATA."""
     return pool.join(oids.select("oid").distinct(), "oid", "left_semi")
 
 
 def set_oid_value(pool: DataFrame, rows: DataFrame) -> DataFrame:
-    """SET-OID-VALUE!, STORE-OID-VALUE!."""
+    """SET-OID-VALUE!, STORE-OID-VALUE!, BULK-COMMIT."""
     return pool.join(rows.select("oid").distinct(), "oid", "left_anti").unionByName(rows.select(*pool.columns))
 
 
 def allocate(rows: DataFrame, base: int) -> DataFrame:
-    """ALLOCATE-OID, NEW-OID, FRAME-CREATE: contiguous ids from ``base``, without sorting or one partition for all.
+    """ALLOCATE-OID, NEW-OID, NEW-FRAME: contiguous ids from ``base``, without sorting or one partition for all.
 
     Rows are numbered inside partitions, and partitions' counts (a few numbers per partition) give their offsets.
     """
@@ -106,12 +106,12 @@ def compare_oids(a: Column, b: Column) -> Column:
 
 
 def snapshot(pool: DataFrame, path: str) -> None:
-    """MAKE-POOL-SNAPSHOT, MAKE-FILE-POOL, COMMIT-POOL: a copy by id ranges, so later id predicates prune row groups."""
+    """MAKE-POOL-SNAPSHOT, MAKE-FILE-POOL, COMMIT-POOL, COMMIT-POOLS, COMMIT-ALL: a copy by id ranges, so later id predicates prune row groups."""
     pool.repartitionByRange("oid").sortWithinPartitions("oid").write.mode("overwrite").parquet(path)
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
-    """RESTORE-POOL-SNAPSHOT, OPEN-POOL, REVERT-POOL, SYNC-POOL."""
+    """RESTORE-POOL-SNAPSHOT, OPEN-POOL, REVERT-POOL, REVERT-POOLS, REVERT-ALL, SYNC-POOL, SYNC-POOLS, SYNC-ALL."""
     return spark.read.parquet(path)
 
 
@@ -130,7 +130,7 @@ def adjunct(pool: DataFrame, slots: list[DataFrame]) -> DataFrame:
 
 
 def allocate_ranges(super_pool: tuple[int, int], load: int, sizes: list[tuple[str, int]]) -> list[tuple[int, int, str]]:
-    """ALLOCATE-FROM-SUPER-POOL: catalog rows of new pools, one after the other in the super pool's range (base, top)."""
+    """MAKE-SUPER-POOL, SUPER-POOL-BASE, SUPER-POOL-TOP, SUPER-POOL-LOADING, ALLOCATE-FROM-SUPER-POOL, ALLOCATE-POOL: catalog rows of new pools, one after the other in the super pool's range (base, top)."""
     base, top = super_pool
     at, out = base + load, []
     for label, capacity in sizes:

@@ -86,5 +86,10 @@ def similar_scored(index: Index, samples: DataFrame, require: list[str] | None =
     return best_from_samples(index, samples, None, candidates)
 
 
+def search_all(indices: list[Index], *clauses: Clause) -> DataFrame:
+    """$?, ??, ?INDEX: FIND-FRAMES over several registered indices, united."""
+    return find_frames(Index.compound(*indices), *clauses)
+
+
 def similar(index: Index, samples: DataFrame, require: list[str] | None = None) -> DataFrame:
     return similar_scored(index, samples, require).select("oid")

@@ -33,7 +33,7 @@ def get(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
 
 
 def probe(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
-    """HASHTABLE-PROBE: keys with a boolean ``present``."""
+    """HASHTABLE-PROBE, HASHSET-PROBE: keys with a boolean ``present``."""
     have = table.select(*key).distinct().withColumn("_p", F.lit(True))
     return keys.select(*key).distinct().join(have, key, "left").select(*key, F.coalesce("_p", F.lit(False)).alias("present"))
 
@@ -49,15 +49,17 @@ def zap(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
 
 
 def keys(table: DataFrame, key: list[str]) -> DataFrame:
+    """HASHTABLE-KEYS."""
     return table.select(*key).distinct()
 
 
 def values(table: DataFrame, value: str = "value") -> DataFrame:
+    """HASHTABLE-VALUES."""
     return table.select(value).filter(F.col(value).isNotNull()).distinct()
 
 
 def size(table: DataFrame, key: list[str]) -> DataFrame:
-    """HASHTABLE-SIZE; one row."""
+    """HASHTABLE-SIZE, HASHSET-SIZE; one row."""
     return keys(table, key).agg(F.count("*").alias("n"))
 
 
@@ -97,6 +99,28 @@ def filter_(elements: DataFrame, hashset: DataFrame, on: list[str]) -> DataFrame
     return elements.join(hashset.select(*on), on, "left_anti").distinct()
 
 
+def hashset(*parts: DataFrame) -> DataFrame:
+    """MAKE-HASHSET, CHOICES->HASHSET, VALUES->HASHSET, HASHSET-ADD!, HASHSET-ELEMENTS, HASHSET-ELTS: distinct members."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
+def hashset_zap(members: DataFrame, gone: DataFrame) -> DataFrame:
+    """HASHSET-ZAP!."""
+    return members.join(gone, members.columns, "left_anti")
+
+
+def hashset_contains(members: DataFrame, elements: DataFrame, on: list[str]) -> DataFrame:
+    """HASHSET-CONTAINS?: whether any of the elements is in the set; one row."""
+    return elements.join(members.select(*on), on, "left_semi").limit(1).agg((F.count("*") > 0).alias("contains"))
+
+
+def hashtable(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """MAKE-HASHTABLE: (key, value) of the last row of each key by value order."""
+    return rows.groupBy(F.col(key).alias("key")).agg(F.max(value).alias("value"))
+
+
 def intern(df: DataFrame, column: str) -> DataFrame:
     """HASHSET-INTERN: a dictionary of distinct values with portable hashes."""
     return df.select(column).distinct().withColumn("hash", F.xxhash64(column))

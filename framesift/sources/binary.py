@@ -92,3 +92,23 @@ def read_packet(b: pd.Series) -> pd.Series:
 def dtype_size(s: pd.Series) -> pd.Series:
     """DTYPE-SIZE of values given as JSON text."""
     return s.map(lambda x: None if x is None else len(encode(json.loads(x))))
+
+
+def write_file(path: str, *values) -> None:
+    """WRITE-DTYPE-TO-FILE, ADD-DTYPE-TO-FILE, WRITE-DTYPE: values one after the other, behind those already there."""
+    with open(path, "ab") as f:
+        for v in values:
+            data = encode(v)
+            f.write(struct.pack(">I", len(data)) + data)
+
+
+def read_file(path: str) -> list:
+    """READ-DTYPE-FROM-FILE, READ-DTYPE: all values of a file."""
+    with open(path, "rb") as f:
+        data = f.read()
+    out, at = [], 0
+    while at < len(data):
+        n = struct.unpack_from(">I", data, at)[0]
+        out.append(decode(data[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return out
