@@ -7,9 +7,15 @@
    signatures share a key for certain. At a similarity of 0.75 a pair is within the distance but for a chance of 1e-5.
 3. Members of a key are not paired with each other. Each class is first held against the smallest member of the key it
    shares most often with one (a star, linear in the rows), on full sets; what links forms components.
-4. Only where a key still joins different components, members are compared across components, by signature in blocks of
-   ``block`` rows, and survivors on full sets. So a large group of near copies costs a star, and no link that could join
-   two components goes untested.
+4. Only where a key still joins different components, members are compared across components, in blocks of ``block``
+   rows. First each class is held against its nearest such member by signature only (linear again: copies of a text that
+   are less like each other than like the text meet in it here), and components are formed anew. Then every remaining
+   pair across components is tested: by signature distance, by a sketch of ``bins`` bytes whose error is bounded at more
+   than four standard deviations, and what survives on full sets. So a large group of near copies costs stars, and no
+   link that could join two components goes untested.
+
+Full sets are made again from the texts of those ids alone that take part in a test; ids are sought by a bitmap of
+fixed size, so other texts are not shuffled.
 
 Cases: null or wordless text has an empty set, is linked with nothing and is kept; a null id is linked with nothing;
 repeated rows have the same set and come back alike; extra columns are not used.
@@ -40,6 +46,9 @@ class NearDupConfig:
     chunk: int = 4
     errors: int = 1
     block: int = 1024
+    bins: int = 512
+    #: Bits of the bitmap by which texts are looked up; a fixed size (2 ** 26 bits are 8 MB).
+    bitmap: int = 1 << 26
     #: Members of a star that one task holds against its centre.
     star: int = 2000
 
@@ -50,7 +59,7 @@ class NearDupConfig:
 
 
 def signed(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """doc_id, n_shingles, set_id (128 bits of the set), sig (the symbols as bytes)."""
+    """doc_id, n_shingles, set_id (128 bits of the set), sig (the symbols as bytes), sketch."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -61,9 +70,10 @@ def signed(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFram
                 sets = list(shingles.shingle_sets([t if isinstance(t, str) else None for t in part["text"]], config.words))
                 sigs = shingles.signatures(sets, config.symbols, config.bits)
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_shingles": [len(s) for s in sets], "set_id": ids, "sig": [s.tobytes() for s in sigs]})
+                sketch = [s.tobytes() for s in shingles.sketches(sets, config.bins)]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_shingles": [len(s) for s in sets], "set_id": ids, "sig": [s.tobytes() for s in sigs], "sketch": sketch})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, set_id binary, sig binary")
+    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, set_id binary, sig binary, sketch binary")
 
 
 def chunk_keys(sigs: np.ndarray, config: NearDupConfig) -> np.ndarray:
@@ -89,9 +99,10 @@ def keyed(reps: DataFrame, config: NearDupConfig) -> DataFrame:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
                 keys = chunk_keys(_matrix(part["sig"]), config)
-                yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), keys.shape[1])})
+                number = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(part))
+                yield pd.DataFrame({"key": keys.ravel(), "number": number, "rep": np.repeat(part["rep"].to_numpy(), keys.shape[1])})
 
-    return reps.select("rep", "sig").mapInPandas(expand, "key long, rep long")
+    return reps.select("rep", "sig").mapInPandas(expand, "key long, number int, rep long")
 
 
 def memberships(keys: DataFrame) -> DataFrame:
@@ -110,9 +121,24 @@ def memberships(keys: DataFrame) -> DataFrame:
             pivot = np.where(at < 0, first if first is not None else 0, r[np.maximum(at, 0)])
             key, first = k[-1], pivot[-1]
             keep = ~new & (pivot != r)
-            yield pd.DataFrame({"key": k[keep], "first": pivot[keep], "rep": r[keep]})
+            yield pd.DataFrame({"key": k[keep], "number": batch["number"].to_numpy()[keep], "first": pivot[keep], "rep": r[keep]})
+
+    return keys.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(scan, "key long, number int, first long, rep long")
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame, config: NearDupConfig) -> DataFrame:
+    """The texts whose id may be wanted: all that are, and few others, by a bitmap over hashes of the wanted ids.
 
-    return keys.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(scan, "key long, first long, rep long")
+    The bitmap is broadcast; its size is fixed by ``bitmap``, whatever the number of ids. Where it fills up, more texts
+    pass and the join that follows does the rest.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(config.bitmap))
+    bits = wanted.select(F.call_function("bitmap_bucket_number", place).alias("_bucket"), F.call_function("bitmap_bit_position", place).alias("_bit"))
+    bitmap = bits.groupBy("_bucket").agg(F.call_function("bitmap_construct_agg", F.col("_bit")).alias("_map"))
+    at = F.call_function("bitmap_bit_position", place)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = texts.withColumn("_bucket", F.call_function("bitmap_bucket_number", place)).join(F.broadcast(bitmap), "_bucket")
+    return found.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select("doc_id", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -123,10 +149,10 @@ def verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataF
     """
     salted = shared_table(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("_h")))
     parts = salted.groupBy("a").agg(F.ceil(F.count("*") / config.star).alias("_n"))
-    salted = salted.join(parts, "a").select("a", "b", (F.col("_h") % F.col("_n")).alias("salt"))
+    salted = shared_table(salted.join(parts, "a").select("a", "b", (F.col("_h") % F.col("_n")).alias("salt")))
     heads = salted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("side"))
     wanted = heads.unionByName(salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("side")))
-    rows = wanted.join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "doc_id")
+    rows = wanted.join(texts_of(texts, wanted, config), "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "doc_id")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, own, last = None, None, None
@@ -148,59 +174,144 @@ def verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataF
     return rows.select("a", "salt", "side", "doc_id", "text").mapInPandas(test, "a long, b long")
 
 
+def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole runs of rows with equal ``columns``, from rows that come sorted by them; one run is held at a time."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[columns].to_numpy()
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if rest and (rest[-1][columns].to_numpy()[-1] != k[0]).any():
+            yield pd.concat(rest) if len(rest) > 1 else rest[0]
+            rest = []
+        at = 0
+        for cut in cuts:
+            part = batch.iloc[at:cut]
+            if rest:
+                part, rest = pd.concat([*rest, part]), []
+            if len(part) > 1:
+                yield part
+            at = cut
+        rest.append(batch.iloc[at:])
+    if rest:
+        yield pd.concat(rest) if len(rest) > 1 else rest[0]
+
+
+def _cells(members: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Rows of keys, dealt by (key, x, y): a key with more than ``block`` members is cut into blocks, and each pair of its
+    blocks is a group of its own, so no task holds more than two blocks at a time."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / config.block).cast("int").alias("_n"))
+    m = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    m = m.withColumns({"x": F.least("own", "_o"), "y": F.greatest("own", "_o")}).drop("_n", "_o")
+    return m.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _candidates(g: pd.DataFrame, s: np.ndarray, i: int, config: NearDupConfig) -> np.ndarray:
+    """Later rows of another component, and of the other block, whose size and signature allow a link with row i."""
+    n, comp = g["n"].to_numpy(), g["comp"].to_numpy()
+    ok = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= config.percent * np.maximum(n[i + 1 :], n[i]))
+    if g["x"].iat[0] != g["y"].iat[0]:
+        ok &= g["own"].to_numpy()[i + 1 :] != g["own"].iat[i]
+    js = np.flatnonzero(ok) + i + 1
+    return js[np.count_nonzero(s[js] != s[i], axis=1) <= config.distance] if len(js) else js
+
+
+def nearest_pairs(members: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(a, b): for each rep the member of another component, in any of its keys, with the nearest signature."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["key", "x", "y"]):
+            s, rep = _matrix(g["sig"]), g["rep"].to_numpy()
+            best: dict[int, tuple[int, int]] = {}
+            for i in range(len(g) - 1):
+                js = _candidates(g, s, i, config)
+                if len(js):
+                    far = np.count_nonzero(s[js] != s[i], axis=1)
+                    for j, d in zip(js, far.tolist()):
+                        for p, q in ((i, int(j)), (int(j), i)):
+                            if p not in best or (d, rep[q]) < best[p]:
+                                best[p] = (d, rep[q])
+            if best:
+                yield pd.DataFrame([(int(rep[p]), d, int(q)) for p, (d, q) in best.items()], columns=["rep", "far", "other"])
+
+    found = _cells(members.select("key", "rep", "comp", "n", "sig"), config).mapInPandas(compare, "rep long, far long, other long")
+    near = found.groupBy("rep").agg(F.min(F.struct("far", "other")).alias("m"))
+    return near.select(F.least("rep", "m.other").alias("a"), F.greatest("rep", "m.other").alias("b")).distinct()
+
+
 def close_pairs(members: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Pairs from different components within a key and the signature distance.
+    """(a, b): every pair of different components within a key that signature and sketch allow.
 
-    ``members`` has key, rep, comp, n, sig. A key with more than ``block`` members is cut into blocks, and each pair of
-    its blocks is a group of its own, so no task holds more than two blocks.
+    A pair that shares several keys is given by the first of them only.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / config.block).cast("int").alias("_n"))
-    m = members.join(sizes, "key").withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
-    m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    m = m.select("key", F.least("_b", "_o").alias("x"), F.greatest("_b", "_o").alias("y"), F.col("_b").alias("own"), "rep", "comp", "n", "sig")
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        s, n, comp, rep, own = _matrix(g["sig"]), g["n"].to_numpy(), g["comp"].to_numpy(), g["rep"].to_numpy(), g["own"].to_numpy()
-        diagonal = g["x"].iat[0] == g["y"].iat[0]
-        out_a, out_b = [], []
-        for i in range(len(g) - 1):
-            rest = slice(i + 1, None)
-            ok = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= config.percent * np.maximum(n[rest], n[i]))
-            if not diagonal:
-                ok &= own[rest] != own[i]
-            js = np.flatnonzero(ok) + i + 1
-            if len(js):
-                js = js[np.count_nonzero(s[js] != s[i], axis=1) <= config.distance]
-                out_a.append(np.minimum(rep[js], rep[i]))
-                out_b.append(np.maximum(rep[js], rep[i]))
-        a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return m.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ways = list(itertools.combinations(range(config.chunk), config.chunk - config.errors))
+        for g in _groups(batches, ["key", "x", "y"]):
+            s, rep, n, number = _matrix(g["sig"]), g["rep"].to_numpy(), g["n"].to_numpy(), int(g["number"].iat[0])
+            k = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
+            out = []
+            for i in range(len(g) - 1):
+                js = _candidates(g, s, i, config)
+                if not len(js):
+                    continue
+                same = (s[js] == s[i]).reshape(len(js), -1, config.chunk)
+                earlier = np.zeros(len(js), bool)
+                for c in range(number // len(ways) + 1):
+                    for w, kept in enumerate(ways):
+                        if c * len(ways) + w < number:
+                            earlier |= same[:, c, list(kept)].all(axis=1)
+                js = js[~earlier]
+                if not len(js):
+                    continue
+                there = (k[js] > 0) | (k[i] > 0)
+                e = there.sum(axis=1)
+                equal = ((k[js] == k[i]) & there).sum(axis=1)
+                t = config.percent / 100
+                union = np.maximum((n[js] + n[i]) / (1 + t), 1)
+                p = t + (1 - t) / 255
+                bar = e * p - 4.5 * np.sqrt(e * p * (1 - p) * np.maximum(1 - e / union, 0.02)) - 2
+                js = js[equal >= bar]
+                out += [(min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))) for j in js]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return _cells(members, config).mapInPandas(compare, "a long, b long").distinct()
+
+
+def _apart(met: DataFrame, reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, number, rep, comp) of the keys that still join components, and the component of each rep."""
+    comp_of = shared_table(reps.select("rep").join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp")))
+    both = met.join(comp_of, "rep").join(comp_of.select(F.col("rep").alias("first"), F.col("comp").alias("first_comp")), "first")
+    apart = shared_table(both.filter("comp <> first_comp").select("key").distinct())
+    rows = met.join(apart, "key", "left_semi")
+    rows = rows.select("key", "number", "rep").unionByName(rows.select("key", "number", F.col("first").alias("rep")).distinct())
+    return shared_table(rows.join(comp_of, "rep")), comp_of
 
 
 def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = shared_table(signed(docs, config))
-    reps = shared_table(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    reps = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    reps = shared_table(reps)
     texts = docs.select("doc_id", "text")
+    size = reps.select(F.col("rep").alias("r"), "n")
     met = shared_table(memberships(keyed(reps, config)))
     # a star: each class with the member that leads most of its keys
     shared = met.groupBy("rep", "first").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max(F.struct(F.col("c"), (-F.col("first")).alias("f"))).alias("m"))
-    star = shared_table(shared.select((-F.col("m.f")).alias("a"), F.col("rep").alias("b")))
-    size = reps.select(F.col("rep").alias("r"), "n", "sig")
-    links = shared_table(verified(_plausible(star, size, config), texts, config))
+    tested = shared_table(_plausible(shared.select((-F.col("m.f")).alias("a"), F.col("rep").alias("b")), size, config))
+    links = shared_table(verified(tested, texts, config))
     comp = components(links)
-    # keys that still join components
-    comp_of = reps.select("rep").join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    both = met.join(comp_of, "rep").join(comp_of.select(F.col("rep").alias("first"), F.col("comp").alias("first_comp")), "first")
-    both = shared_table(both)
-    apart = both.filter("comp <> first_comp").select("key").distinct()
-    members = both.select("key", "rep", "comp").unionByName(both.select("key", F.col("first").alias("rep"), F.col("first_comp").alias("comp")).distinct()).join(apart, "key", "left_semi")
-    pairs = close_pairs(members.join(size.withColumnRenamed("r", "rep"), "rep"), config)
-    pairs = shared_table(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
+    # stars around nearest members, then whatever is left
+    for choose, columns in ((nearest_pairs, ["n", "sig"]), (close_pairs, ["n", "sig", "sketch"])):
+        members, _ = _apart(met, reps, comp)
+        pairs = choose(members.join(reps.select("rep", *columns), "rep"), config)
+        pairs = shared_table(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
         links = links.unionByName(shared_table(verified(pairs, texts, config)))
         comp = components(links)
     classes = reps.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("_c"))

@@ -114,6 +114,17 @@ def signatures(sets: list[np.ndarray], k: int, bits: int) -> np.ndarray:
     return out
 
 
+def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
+    """One byte per bin of the value range: 0 for no member in the bin, else a hash of the bin's least member."""
+    out = np.zeros((len(sets), bins), np.uint8)
+    shift = U(64 - (bins - 1).bit_length())
+    for i, s in enumerate(sets):
+        b = (s >> shift).astype(np.int64)
+        first = np.flatnonzero(np.diff(b, prepend=-1))
+        out[i, b[first]] = (_mixed(s[first] ^ U(0x5851F42D4C957F2D)) % U(255) + U(1)).astype(np.uint8)
+    return out
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of intersection and union of two sorted sets."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
