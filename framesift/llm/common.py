@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import checkpoint_root, shared_table
+
+__all__ = ["WS", "checkpoint_root", "let", "n_words", "shared_table", "table", "words"]
 #: White space that separates words, as a Java character class body.
 WS = r"\x20\x09-\x0D"
 
@@ -22,36 +23,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints/framesift"
-    return root
-
-
-def shared_table(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives the loss of any executor.
-
-    The files are Parquet, so later readers prune columns and get true sizes. They are removed when the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/framesift-{uuid.uuid4().hex}"
-    schema = df.schema
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended already; the folder is scratch space
-        return
-
-
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WS}]", -1), lambda x: x != F.lit(""))

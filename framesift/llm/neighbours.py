@@ -30,8 +30,9 @@ from .common import shared_table
 @dataclass(frozen=True)
 class NeighbourConfig:
     k: int = 20
-    #: Vectors in a block.
+    #: Vectors in a block of candidates, and of queries: the larger the latter, the fewer times candidates are dealt.
     block: int = 1024
+    query_block: int = 4096
     #: Lanes that share the candidate blocks of a query block.
     lanes: int = 8
 
@@ -54,14 +55,14 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         def out(dim: int) -> pd.DataFrame:
             ids = np.array([i for i, _ in held[dim]], np.int64)
             x = np.stack([v for _, v in held.pop(dim)])
-            scale = np.abs(x).max(axis=1).astype(np.float64) / 127
+            scale = np.abs(x.astype(np.float64)).max(axis=1) / 127
             codes = np.rint(x / scale[:, None]).astype(np.int8)
             at[0] += 1
             return pd.DataFrame({"dim": [dim], "block": [int(ids.min())], "blob": [pickle.dumps((ids, x, codes, scale), protocol=5)]})
 
         for batch in batches:
             for i, v in zip(batch["vec_id"], batch["embedding"]):
-                v = np.asarray(v, np.float64)
+                v = np.asarray(v)  # as given: single precision stays so until it is multiplied
                 held.setdefault(len(v), []).append((i, v))
                 if len(held[len(v)]) == size:
                     yield out(len(v))
@@ -73,13 +74,13 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 def _error(codes: np.ndarray, scale: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Norms of the quantised vectors, and of what quantisation changed (rounded up)."""
-    near = codes * scale[:, None]
+    x, near = x.astype(np.float64), codes * scale[:, None]
     return np.sqrt((near * near).sum(1)) * (1 + 1e-9), np.sqrt(((x - near) ** 2).sum(1)) * (1 + 1e-9) + 1e-300
 
 
 def exact_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products in double precision, components added in order."""
-    total = np.zeros(len(c))
+    q, c, total = q.astype(np.float64), c.astype(np.float64), np.zeros(len(c))
     for d in range(len(q)):
         total += q[d] * c[:, d]
     return total
@@ -114,6 +115,8 @@ def _tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             for i, q in enumerate(queries[0]):
                 heap = heaps[i]
                 low, high = near[i] - slack[i], near[i] + slack[i]
+                if not np.isfinite(high).all():  # products beyond double precision bound nothing
+                    low, high = np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
                 own = ids == q
                 if len(heap) == k:
                     bar = heap[0][0]
@@ -139,7 +142,7 @@ def nearest(vectors: DataFrame, queries: Column, config: NeighbourConfig = Neigh
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product for each row that meets ``queries``."""
     rows = vectors.select("vec_id", F.col("embedding")).filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
     candidates = shared_table(_packed(rows, config.block)).withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(config.lanes)).cast("int"))
-    asked = shared_table(_packed(rows.filter(queries).coalesce(8), config.block))
+    asked = shared_table(_packed(rows.filter(queries).coalesce(8), config.query_block))
     blocks = asked.select("dim", F.col("block").alias("qblock"))
     heads = asked.select("dim", F.col("block").alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(config.lanes - 1))).alias("lane"), F.lit(0).alias("side"), F.col("blob"))
     # every candidate block meets every query block of its length: a stated query set against all rows, block by block

@@ -36,7 +36,7 @@ def test_nearest(spark, sf, block, lanes):
     ties = [(200000 + i, [0.25] * 64) for i in range(60)]
     df = table.unionByName(spark.createDataFrame(odd + ties, "vec_id long, embedding array<float>")).withColumn("dim", F.lit(1))
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    got = rows_of(neighbours.nearest(df, F.col("vec_id") % 20 == 0, neighbours.NeighbourConfig(block=block, lanes=lanes)))
+    got = rows_of(neighbours.nearest(df, F.col("vec_id") % 20 == 0, neighbours.NeighbourConfig(block=block, query_block=block, lanes=lanes)))
     assert got == brute(rows, lambda q: q % 20 == 0, 20)
 
 
