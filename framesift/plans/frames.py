@@ -275,3 +275,54 @@ def find_similar(spark, d):
 )
 def similar_scored(spark, d):
     return search.similar_scored(Index.index_frames(parts(spark, d)), spark.createDataFrame([(3,)], "oid long"), ["p_type"])
+
+
+@query("assoc_test", "SELECT DISTINCT user_id AS oid FROM events WHERE event_type = 'error' AND floor(value) = 6")
+def assoc_test(spark, d):
+    rows = t(spark, d, "events").select(F.col("user_id").alias("oid"), F.lit("did").alias("slot"), F.concat_ws("=", "event_type", F.floor("value").cast("int").cast("string")).alias("value"))
+    return FrameStore(rows).assoc_test("did", "error", "6")
+
+
+@query("assoc_drop", "SELECT DISTINCT user_id AS oid, event_type AS value FROM events WHERE event_type <> 'view'")
+def assoc_drop(spark, d):
+    rows = t(spark, d, "events").select(F.col("user_id").alias("oid"), F.lit("did").alias("slot"), F.concat_ws("=", "event_type", F.floor("value").cast("string")).alias("value"))
+    store = FrameStore(rows)
+    return store.paired_drop("did", rows.select("oid", F.lit("view").alias("value"))).car_get("did")
+
+
+@query("modify_frames", f"WITH {_PARTS} SELECT oid, slot, CASE WHEN slot = 'p_name' AND oid < 100 THEN upper(value) ELSE value END AS value FROM s")
+def modify_frames(spark, d):
+    return parts(spark, d).modify_frames(t(spark, d, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("oid")), "p_name", F.upper("value")).slots
+
+
+@query("make_frames", "SELECT n_nationkey AS oid, k AS slot, v AS value FROM nation, (VALUES ('kind', 'nation'), ('state', 'new')) x(k, v)")
+def make_frames(spark, d):
+    empty = FrameStore(spark.createDataFrame([], "oid int, slot string, value string"))
+    return empty.make_frames(t(spark, d, "nation").select(F.col("n_nationkey").alias("oid")), kind="nation", state="new").slots
+
+
+@query("adjunct_get", "SELECT p_partkey AS oid, CAST(count(l_orderkey) AS VARCHAR) AS value FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def adjunct_get(spark, d):
+    sales = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("oid")).agg(F.count("*").cast("string").alias("value"))
+    return parts(spark, d).with_adjunct("sales", sales).get("sales")
+
+
+@query("search_all", "SELECT p_partkey AS oid FROM part WHERE p_brand = 'Brand#2' AND p_size < 10 UNION SELECT p_partkey FROM part WHERE p_brand = 'Brand#2' AND p_size >= 40")
+def search_all(spark, d):
+    p = t(spark, d, "part")
+    a, b = (Index.index_frames(FrameStore.from_wide(x, "p_partkey", ["p_brand", "p_type"])) for x in (p.filter("p_size < 10"), p.filter("p_size >= 40")))
+    return search.search_all([a, b], ("p_brand", ["Brand#2"]))
+
+
+@query("use_frames", "SELECT 'n' || n_nationkey AS oid, 'label' AS slot, n_name AS value FROM nation UNION ALL SELECT 'new0', 'label', 'ATLANTIS'")
+def use_frames(spark, d):
+    g = FrameStore(graph(spark, d).slots.filter("slot = 'label' and oid like 'n%'"))
+    return g.use_frames(spark.createDataFrame([("new0", "ATLANTIS"), ("new1", "NATION_3")], "oid string, name string"), "label").slots
+
+
+@query("nation_taxonomy", f"WITH RECURSIVE {_GRAPH}, w AS (SELECT oid AS root, oid AS node FROM g WHERE oid LIKE 'c%' AND oid LIKE '%7' UNION SELECT w.root, g.value FROM w JOIN g ON w.node = g.oid AND g.slot = 'partof') SELECT DISTINCT root FROM w JOIN g ON node = oid WHERE slot = 'label' AND value = 'ASIA'")
+def nation_taxonomy(spark, d):
+    """Frames that inherit a value through links: the class restriction of a concept search."""
+    g = graph(spark, d)
+    roots = g.slots.filter("oid like 'c%7'").select(F.col("oid").alias("root")).distinct()
+    return closures.inherits_value(roots, g.edges("partof"), g.get("label").select("oid", "value"), "ASIA")

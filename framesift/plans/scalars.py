@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import control as K
 from ..functions import numbers as N
 from ..functions import patterns as P
 from ..functions import sequences as Q
@@ -251,3 +252,63 @@ def sequence_edits(spark, d):
 def assoc_lookup(spark, d):
     m = F.from_json("props", "map<string,int>")
     return t(spark, d, "events").select("event_id", Q.assoc("k", m).alias("k"))
+
+
+# conditions and text output
+
+
+@query("conditions", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS kind, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 1 WHEN p_type = 'SMALL' THEN 2 ELSE 0 END AS code, NOT (p_size > 5) AS low, p_size > 5 AND p_size < 9 AS mid FROM part")
+def conditions(spark, d):
+    x = F.col("p_size")
+    return t(spark, d, "part").select("p_partkey", K.cond((x < 10, "small"), (x < 30, "middle"), otherwise="large").alias("kind"), K.case(F.col("p_type"), (["PROMO", "ECONOMY"], 1), (["SMALL"], 2), otherwise=0).alias("code"), K.not_(x > 5).alias("low"), K.and_(x > 5, x < 9).alias("mid"))
+
+
+@query("comma_list", "SELECT n_regionkey, array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[len(l)] AS names FROM (SELECT n_regionkey, list_sort(list(n_name)) AS l FROM nation GROUP BY 1)")
+def comma_list(spark, d):
+    g = t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("l"))
+    return g.select("n_regionkey", K.comma_list(F.col("l")).alias("names"))
+
+
+@query("stringout", "SELECT c_custkey, c_name || ' (' || c_nationkey || ')' AS line FROM customer")
+def stringout(spark, d):
+    return t(spark, d, "customer").select("c_custkey", K.stringout(F.col("c_name"), " (", F.col("c_nationkey"), ")").alias("line"))
+
+
+@query("cgi_vars", "SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref FROM pages WHERE regexp_matches(url, '[?&]page=')")
+def cgi_vars(spark, d):
+    m = K.cgi_vars(F.regexp_extract("url", r"[?]([^#]*)", 1))
+    return t(spark, d, "pages").select("page_id", m.alias("m")).select("page_id", F.col("m")["page"].alias("page"), F.col("m")["ref"].alias("ref")).filter("page is not null")
+
+
+@query("paths", "SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS base, regexp_replace(url, '/?[^/]*/*$', '') AS dir FROM pages")
+def paths(spark, d):
+    return t(spark, d, "pages").select("page_id", K.basename(F.col("url")).alias("base"), K.dirname(F.col("url")).alias("dir"))
+
+
+@query("complex_magnitude", "SELECT c_custkey, round(sqrt(c_acctbal * c_acctbal + c_nationkey * c_nationkey), 6) AS modulus FROM customer")
+def complex_magnitude(spark, d):
+    return t(spark, d, "customer").select("c_custkey", F.round(N.complex_magnitude(N.make_rectangular("c_acctbal", "c_nationkey")), 6).alias("modulus"))
+
+
+@query("nd_call", "SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority))[-1] AS last FROM orders GROUP BY 1")
+def nd_call(spark, d):
+    from ..operators import choices
+
+    return choices.nd_call(t(spark, d, "orders"), ["o_custkey"], "o_orderpriority", lambda s: F.element_at(s, -1), "last")
+
+
+@query("parallel_union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
+def parallel_union(spark, d):
+    from ..operators import choices
+
+    return choices.parallel(lambda: t(spark, d, "nation").select(F.col("n_name").alias("name")), lambda: t(spark, d, "region").select(F.col("r_name").alias("name")))
+
+
+@query("token_dictionary", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) AS w FROM conversations) WHERE w IN ('the', 'of', 'der', 'que') GROUP BY 1")
+def token_dictionary(spark, d):
+    """HASHSET in a pattern: tokens, then a semi join with the dictionary."""
+    from ..operators import tables
+
+    words = t(spark, d, "conversations").select(F.explode(P.segment(F.lower("text"))).alias("w"))
+    known = spark.createDataFrame([("the",), ("of",), ("der",), ("que",)], "w string")
+    return tables.increment(words.join(known, "w", "left_semi"), ["w"]).withColumnRenamed("value", "n")

@@ -182,6 +182,59 @@ def test_binary_rejects_damage():
         binary.decode(b"\xee")
 
 
+def test_binary_files(tmp_path):
+    p = str(tmp_path / "values")
+    binary.write_file(p, 1, "two")
+    binary.write_file(p, [3.0])
+    assert binary.read_file(p) == [1, "two", [3.0]]
+
+
+def test_control_and_predicates(spark):
+    from framesift.functions import control
+
+    r = one(spark, control.comma_list(F.array(*map(F.lit, ["a"]))), control.unless(F.lit(None).cast("boolean"), 1), control.cgi_vars(F.lit("a=1&b=x%20y&a=2&c")), numbers.is_integer(F.lit(1)), numbers.is_inexact(F.lit(1)), numbers.rationalize(F.lit(0.3333), 0.001), sequences.is_vector(F.array()), sequences.is_string(F.lit(1)), sequences.member(F.lit(2), F.array(F.lit(1), F.lit(2), F.lit(3))), times.parse_timestring(F.lit("3/4/2024"))["ts"].cast("string"), patterns.canonical(F.lit(" É  b ")))
+    assert list(r) == ["a", 1, {"a": "2", "b": "x y", "c": ""}, True, False, (1, 3), True, False, [2, 3], "2024-03-04 00:00:00", "e b"]
+
+
+def test_pairs_and_adjuncts(spark):
+    s = FrameStore(spark.createDataFrame([(1, "r", "a=1"), (1, "r", "b=2"), (2, "r", "a=3")], "oid long, slot string, value string"))
+    assert col(s.assoc_test("r", "a", "3")) == [2] and col(s.paired_test("r", "b")) == [1]
+    one_ = spark.createDataFrame([(1, "9")], "oid long, value string")
+    assert col(s.assoc_add("r", "a", one_).assoc_get("r", "a"), "value") == ["1", "3", "9"]
+    assert s.paired_drop("r", spark.createDataFrame([(1, "a")], "oid long, value string")).slots.count() == 2
+    assert col(s.with_adjunct("x", one_).get("x"), "value") == ["9"]
+
+
+def test_call_cache(spark):
+    c, calls = choices.CallCache(), []
+
+    def f(n):
+        calls.append(n)
+        return spark.range(n)
+
+    assert c.call(f, 3).count() == 3 == c.call(f, 3).count() and c.call(f, 4).count() == 4
+    c.clear(f)
+    c.call(f, 3)
+    assert calls == [3, 4, 3]
+
+
+def test_registry_resolves():
+    import importlib
+
+    from framesift.registry import coverage
+
+    found = coverage()
+    assert {"FIND-FRAMES", "CHOICE", "HASHTABLE-SKIM", "GET*", "FD:INVERSE-GET", "TX-EXTRACT", "SINGLETON?"} - set(found) <= {"SINGLETON?"}
+    for places in found.values():
+        for place in places:
+            where, name = place.split(":")
+            package, module, *cls = where.split(".")
+            owner = importlib.import_module(f"framesift.{package}.{module}")
+            for c in cls:
+                owner = getattr(owner, c)
+            assert hasattr(owner, name)
+
+
 def test_records(spark):
     df = spark.createDataFrame([(1, "a--b---c"), (2, "")], "id long, text string")
     got = [tuple(r) for r in records.records(df, F.col("text"), "-+", ["id"]).orderBy("position").collect()]
