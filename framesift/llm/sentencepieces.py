@@ -12,12 +12,14 @@ encoded, however long; repeated rows come back alike; extra columns are not used
 
 from __future__ import annotations
 
-import json
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ def build_tokenizer(m: Model):
     if m.kind == UNIGRAM:
         model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=unknown, byte_fallback=m.byte_fallback)
     elif m.kind == BPE:
-        model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges_of(m), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges_of(m), unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
     else:
         raise ValueError(f"model type {m.kind} is not supported")
     t = Tokenizer(model)
@@ -158,6 +160,47 @@ def normal_text(m: Model, text: str) -> str:
     return text
 
 
+class Decoder:
+    """Texts from ids, by joining pieces: markers become spaces, the one in front goes, runs of byte pieces become text.
+
+    Gives what the library's decoder gives; bytes that are no UTF-8 become replacement characters, one each.
+    """
+
+    def __init__(self, m: Model):
+        self.text = [p.replace(MARK, " ") for p, _, _ in m.pieces]
+        self.bytes = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE} if m.byte_fallback else {}
+        self.strip = m.dummy_prefix
+
+    def __call__(self, ids: list[int]) -> tuple[str, int]:
+        """The text, and how many ids are bytes."""
+        if self.bytes.keys().isdisjoint(ids):
+            text, n = "".join(map(self.text.__getitem__, ids)), 0
+        else:
+            parts: list[str] = []
+            held = bytearray()
+            n = 0
+
+            def flush() -> None:
+                if held:
+                    try:
+                        parts.append(held.decode())
+                    except UnicodeDecodeError:
+                        parts.append("\ufffd" * len(held))
+                    held.clear()
+
+            for i in ids:
+                b = self.bytes.get(i)
+                if b is None:
+                    flush()
+                    parts.append(self.text[i])
+                else:
+                    held.append(b)
+                    n += 1
+            flush()
+            text = "".join(parts)
+        return (text[1:] if self.strip and text.startswith(" ") else text), n
+
+
 _cache: dict[int, tuple] = {}
 
 
@@ -165,54 +208,58 @@ def _ready(data: bytes) -> tuple:
     key = hash(data)
     if key not in _cache:
         m = parse_model(data)
-        _cache[key] = (m, build_tokenizer(m))
+        _cache[key] = (m, build_tokenizer(m), Decoder(m))
     return _cache[key]
 
 
 ENCODED = "doc_id long, input_ids array<int>, n_tokens long, n_bytes_fallback long, round_trip boolean, parity boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, parity_every: int = 64, batch_chars: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, *, parity_every: int = 64, batch_chars: int = 400_000, threads: int = 2) -> DataFrame:
     """doc_id, input_ids, n_tokens, n_bytes_fallback, round_trip, parity of every row.
 
     parity compares with the original library, for rows whose id is divisible by ``parity_every`` (null elsewhere); it
-    is a check of the rebuilt model, not part of the encoding.
+    is a check of the rebuilt model, not part of the encoding. ``threads`` bounds the library's threads in a worker.
     """
     with open(model_path, "rb") as f:
         data = f.read()
-    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    del keep
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
-        m, t = _ready(data)
+        m, t, decoder = _ready(data)
         original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        fallback = {i for i, p in enumerate(m.pieces) if p[2] == BYTE}
-        plain = not m.charsmap
         for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             at = 0
-            ids, texts = batch["doc_id"].tolist(), [x if isinstance(x, str) else None for x in batch["text"]]
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end] or "") <= batch_chars):
                     size += len(texts[end] or "")
                     end += 1
-                part = texts[at:end]
-                found = [e.ids for e in t.encode_batch_fast([x or "" for x in part], add_special_tokens=False)]
-                found = [f if x else [] for f, x in zip(found, part)]
-                back = t.decode_batch(found, skip_special_tokens=False)
-                rows = []
-                for i, x, f, b in zip(ids[at:end], part, found, back):
-                    if x is None:
-                        rows.append((i, None, None, None, None, None))
-                        continue
-                    same = original.encode(x) == f if i == i and i is not None and i % parity_every == 0 else None
-                    rows.append((i, f, len(f), sum(map(fallback.__contains__, f)), b == (normal_text(m, x) if plain else original.normalize(x).replace(MARK, " ").removeprefix(" ")), same))
-                yield pd.DataFrame(rows, columns=["doc_id", "input_ids", "n_tokens", "n_bytes_fallback", "round_trip", "parity"]).astype({"doc_id": "Int64", "n_tokens": "Int64", "n_bytes_fallback": "Int64", "round_trip": "boolean", "parity": "boolean"})
+                part, keys = texts[at:end], ids[at:end]
+                found = [e.ids if x else [] for x, e in zip(part, t.encode_batch_fast([x or "" for x in part], add_special_tokens=False))]
+                back = [decoder(f) for f in found]
+                null = np.array([x is None for x in part])
+                counts = np.array([len(f) for f in found], np.int64)
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                wanted = [None if x is None else normal_text(m, x) if not m.charsmap else original.normalize(x).replace(MARK, " ").removeprefix(" ") for x in part]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)), pa.array(flat)),
+                        pa.array(counts, pa.int64(), mask=null),
+                        pa.array([n for _, n in back], pa.int64(), mask=null),
+                        pa.array([None if w is None else w == b for w, (b, _) in zip(wanted, back)], pa.bool_()),
+                        pa.array([original.encode(x) == f if x is not None and i is not None and i % parity_every == 0 else None for i, x, f in zip(keys, part, found)], pa.bool_()),
+                    ],
+                    names=["doc_id", "input_ids", "n_tokens", "n_bytes_fallback", "round_trip", "parity"],
+                )
                 at = end
 
-    return docs.select("doc_id", "text").mapInPandas(encode, ENCODED)
+    return docs.select("doc_id", "text").mapInArrow(encode, ENCODED)
 
 
 def decode_documents(rows: DataFrame, model_path: str) -> DataFrame:
@@ -220,14 +267,13 @@ def decode_documents(rows: DataFrame, model_path: str) -> DataFrame:
     with open(model_path, "rb") as f:
         data = f.read()
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, t = _ready(data)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _ready(data)[2]
         for batch in batches:
-            lists = [None if x is None else list(map(int, x)) for x in batch["input_ids"]]
-            texts = iter(t.decode_batch([x for x in lists if x is not None], skip_special_tokens=False))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": [None if x is None else next(texts) for x in lists]})
+            texts = [None if x is None else decoder(x)[0] for x in batch.column("input_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "input_ids").mapInPandas(decode, "doc_id long, text string")
+    return rows.select("doc_id", "input_ids").mapInArrow(decode, "doc_id long, text string")
 
 
 def ids_digest(column: str = "input_ids"):

@@ -311,6 +311,17 @@ def test_sentencepiece_parity_and_round_trip(spark, docs, texts):
     assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r["doc_id"], r["text"]) for r in [*texts, *({"doc_id": i, "text": x} for i, x in odd)])
 
 
+def test_decoder_agrees_with_the_library():
+    import random
+
+    with open(MODEL, "rb") as f:
+        _, t, decoder = sentencepieces._ready(f.read())
+    r = random.Random(2)
+    for _ in range(300):
+        ids = [r.randrange(3, 600 if r.random() < 0.5 else 32000) for _ in range(r.randrange(0, 12))]
+        assert decoder(ids)[0] == t.decode(ids, skip_special_tokens=False), ids
+
+
 def test_unigram_model_is_rebuilt():
     pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -2.5, 1), ("▁ab", -2.2, 1)] + [(f"<0x{i:02X}>", -9.0, 6) for i in range(256)]
     t = sentencepieces.build_tokenizer(sentencepieces.Model(pieces=pieces, kind=sentencepieces.UNIGRAM, byte_fallback=True, remove_extra=False))
