@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import licenses, mixing, neardup, neighbours, pages, quality, secrets, sentencepieces, toxicity, urls
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ QUERIES = {
         op6_sentencepiece, op7_license_scans, op8_mixing, op9_nearest_neighbours, op10_url_filters,
     )
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
