@@ -55,3 +55,47 @@ def span_keys(start, end, fraction: float) -> Column:
     lo, hi = F.least(_c(start), _c(end)), F.greatest(_c(start), _c(end))
     a, b = F.ceil(lo / fraction).cast("long"), F.floor(hi / fraction).cast("long")
     return F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda i: F.round(i * fraction, 9))).otherwise(F.array().cast("array<double>"))
+
+
+def float_to_dms(x) -> Column:
+    """float->dms: sign, degrees, minutes and seconds, as +DDDMMSS. Seconds are rounded; 60 of them carry over."""
+    v = _c(x)
+    total = F.round(F.abs(v) * 3600).cast("long")
+    pad = lambda n, k: F.lpad(n.cast("string"), k, "0")
+    whole = F.floor(total / 3600)
+    return F.concat(F.when(v < 0, "-").otherwise("+"), pad(whole, 3), pad(F.floor(total / 60) % 60, 2), pad(total % 60, 2))
+
+
+def dms_to_float(s) -> Column:
+    """dms->float: from d:m:s, d:m, d:m.mmm or plain degrees."""
+    t = F.col(s) if isinstance(s, str) else s
+    part = lambda i: F.coalesce(F.get(F.split(t, ":"), F.lit(i)).try_cast("double"), F.lit(0.0))
+    sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return sign * (F.abs(part(0)) + part(1) / 60 + part(2) / 3600)
+
+
+def degree_keys(x) -> Column:
+    """get-degree-keys: D, DM and DMS strings of a coordinate, for search by equal keys at three scales."""
+    s = float_to_dms(x)
+    return F.array(*(F.substring(s, 1, n) for n in (4, 6, 8)))
+
+
+def lat_plus(x, delta) -> Column:
+    """lat+: within -90 to 90."""
+    return F.greatest(F.lit(-90.0), F.least(F.lit(90.0), _c(x) + delta))
+
+
+def lon_plus(x, delta) -> Column:
+    """lon+: round the globe, within -180 to 180."""
+    return F.pmod(_c(x) + delta + 180, F.lit(360.0)) - 180
+
+
+def parse_nmea(line) -> Column:
+    """parse-nmea-sentence: struct (time, lat, long, speed, course) of a $GPRMC sentence; null for others."""
+    t = F.col(line) if isinstance(line, str) else line
+    f = F.split(F.regexp_replace(t, r"\*.*$", ""), ",")
+    at = lambda i: F.get(f, F.lit(i))
+    degrees = lambda i, n, away: F.when(at(i + 1).isin(*away), F.lit(-1.0)).otherwise(F.lit(1.0)) * (F.substring(at(i), 1, n).try_cast("double") + F.substring(at(i), n + 1, 20).try_cast("double") / 60)
+    century = F.when(F.substring(at(9), 5, 2) >= "80", "19").otherwise("20")  # satellite time begins in 1980
+    time = F.try_to_timestamp(F.concat(F.substring(at(9), 1, 4), century, F.substring(at(9), 5, 2), F.substring(at(1), 1, 6)), F.lit("ddMMyyyyHHmmss"))
+    return F.when(at(0) == "$GPRMC", F.struct(time.alias("time"), degrees(3, 2, "Ss").alias("lat"), degrees(5, 3, "Ww").alias("long"), at(7).try_cast("double").alias("speed"), at(8).try_cast("double").alias("course")))

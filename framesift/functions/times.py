@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Keys of months and week days (from Sunday), and the names that queries may use for months.
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+WEEKDAYS = ("SUN", "MON", "TUES", "WED", "THURS", "FRI", "SAT")
+MONTH_NAMES = {
+    "JAN": ("jan", "january", "janvier"), "FEB": ("feb", "february", "fevrier"), "MAR": ("mar", "march", "mars"), "APR": ("apr", "april", "avril"), "MAY": ("may", "mai"), "JUN": ("jun", "june", "juin"),
+    "JUL": ("jul", "july", "juli"), "AUG": ("aug", "august", "aout"), "SEP": ("sep", "september", "sept", "septembre"), "OCT": ("oct", "october", "octobre"), "NOV": ("nov", "november", "novembre"), "DEC": ("dec", "december", "decembre"),
+}
 PRECISIONS = ("year", "month", "day", "hour", "minute", "second")
 
 
@@ -108,6 +115,22 @@ def get_daytime(t) -> Column:
     return _keys(((h > 5) & (h < 12), "MORNING"), ((h > 12) & (h < 18), "AFTERNOON"), ((h > 16) & (h < 20), "EVENING"), ((h < 5) | (h > 20), "NIGHT"))
 
 
+def _name_at(names: tuple[str, ...], i: Column) -> Column:
+    return F.get(F.array(*map(F.lit, names)), i)
+
+
+def ordinal(day: Column) -> Column:
+    """1ST, 2ND, 3RD, 4TH, ..., 11TH, 12TH, 13TH, ..., 21ST."""
+    teen, last = (day >= 11) & (day <= 13), day % 10
+    end = F.when(~teen & (last == 1), "ST").when(~teen & (last == 2), "ND").when(~teen & (last == 3), "RD").otherwise("TH")
+    return F.concat(day.cast("string"), end)
+
+
+def hour_key(hour: Column) -> Column:
+    """MIDNIGHT, 1AM, ..., NOON, 1PM, ..., 11PM."""
+    return F.when(hour == 0, "MIDNIGHT").when(hour == 12, "NOON").when(hour < 12, F.concat(hour.cast("string"), F.lit("AM"))).otherwise(F.concat((hour - 12).cast("string"), F.lit("PM")))
+
+
 def get_timekeys(t, precision: str = "second") -> Column:
     """GET-TIMEKEYS: the set of index keys of a time, as far as its precision goes. Season bounds differ from GET-SEASON's."""
     x = _c(t)
@@ -117,19 +140,41 @@ def get_timekeys(t, precision: str = "second") -> Column:
     sets = [F.array(*parts)]
     if level >= 1:
         sets.append(_keys(((m >= 5) & (m < 9), "SUMMER"), ((m >= 2) & (m <= 5), "SPRING"), ((m >= 8) & (m < 11), "AUTUMN"), ((m < 3) | (m > 10), "WINTER")))
-        sets.append(F.array(F.upper(F.date_format(x, "MMM")), F.concat_ws("/", F.month(x).cast("string"), F.year(x).cast("string"))))
+        sets.append(F.array(_name_at(MONTHS, m), F.concat_ws("/", F.month(x).cast("string"), F.year(x).cast("string"))))
     if level >= 2:
         week = F.floor((F.dayofyear(x) - 1) / 7).cast("int") + 1
-        sets.append(F.array(F.concat(F.lit("D"), F.dayofmonth(x).cast("string")), F.upper(F.date_format(x, "EEE")), F.concat(F.lit("W"), week.cast("string")), F.concat_ws("/", F.month(x).cast("string"), F.dayofmonth(x).cast("string"))))
+        sets.append(F.array(ordinal(F.dayofmonth(x)), _name_at(WEEKDAYS, F.dayofweek(x) - 1), F.concat(F.lit("W"), week.cast("string")), F.concat_ws("/", F.month(x).cast("string"), F.dayofmonth(x).cast("string"))))
     if level >= 3:
         sets.append(get_daytime(x))
-        sets.append(F.array(F.concat(F.lit("H"), F.hour(x).cast("string")), F.concat(F.hour(x).cast("string"), F.lit(":"), F.lpad(F.minute(x).cast("string"), 2, "0"))))
+        sets.append(F.array(hour_key(F.hour(x)), F.concat(F.hour(x).cast("string"), F.lit(":"), F.lpad(F.minute(x).cast("string"), 2, "0"))))
     return F.array_sort(F.array_distinct(F.concat(*sets)))
 
 
 def parse_timespec(s) -> Column:
-    """parse-timespec: the key set that a query such as "MAR 2024 morning" asks for: its words, upper-cased, as keys."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.upper(_c(s)), r"[\s,]+"), lambda x: x != "")))
+    """parse-timespec: the key sets that a query asks for, one per word that means a time: years and ranges of them
+    (1996-1998), months and ranges (May-August, which may run over the new year), days, month/day pairs, seasons."""
+    names = F.create_map(*(F.lit(x) for i, (key, ns) in enumerate(MONTH_NAMES.items()) for n in ns for x in (n, i)))
+    months = F.array(*map(F.lit, MONTHS))
+
+    def keys(w: Column) -> Column:
+        low = F.lower(w)
+        a, b = F.regexp_extract(low, "^([a-z]+)-", 1), F.regexp_extract(low, "-([a-z]+)$", 1)
+        first, last = F.try_element_at(names, a), F.try_element_at(names, b)
+        span = F.transform(F.sequence(first, F.when(last >= first, last).otherwise(last + 12)), lambda i: F.get(months, i % 12))
+        start, end = F.regexp_extract(w, r"^(\d{4})-", 1).try_cast("int"), F.regexp_extract(w, r"-(\d{4})$", 1).try_cast("int")
+        day = w.try_cast("int")
+        month = F.try_element_at(names, low)
+        return (
+            F.when(w.rlike(r"^\d{4}-\d{4}$") & (start <= end), F.transform(F.sequence(start, end), lambda y: y.cast("string")))
+            .when(first.isNotNull() & last.isNotNull(), span)
+            .when(month.isNotNull(), F.array(F.get(months, month)))
+            .when(w.rlike(r"^\d{4}$") | w.rlike(r"^\d+/\d+$"), F.array(w))
+            .when(w.rlike(r"^\d{1,2}$") & (day >= 1) & (day <= 31), F.array(ordinal(day)))
+            .when(low.isin("summer", "winter", "spring", "autumn"), F.array(F.upper(w)))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    return F.filter(F.transform(F.split(_c(s), " +"), keys), lambda k: F.size(k) > 0)
 
 
 def timestamp(x=None) -> Column:

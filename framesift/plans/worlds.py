@@ -36,8 +36,8 @@ def season_keys(spark, d):
 
 
 _KEYS = f"""SELECT event_id, k AS timekey FROM (SELECT event_id, unnest([CAST(year(ts) AS VARCHAR), CASE WHEN m >= 5 AND m < 9 THEN 'SUMMER' END, CASE WHEN m >= 2 AND m <= 5 THEN 'SPRING' END,
- CASE WHEN m >= 8 AND m < 11 THEN 'AUTUMN' END, CASE WHEN m < 3 OR m > 10 THEN 'WINTER' END, upper(strftime(ts, '%b')), month(ts) || '/' || year(ts), 'D' || day(ts), upper(strftime(ts, '%a')),
- 'W' || ((dayofyear(ts) - 1) // 7 + 1), month(ts) || '/' || day(ts), {_DAY}, 'H' || h, h || ':' || strftime(ts, '%M')]) AS k FROM (SELECT event_id, ts, hour(ts) AS h, month(ts) - 1 AS m FROM events)) WHERE k IS NOT NULL"""
+ CASE WHEN m >= 8 AND m < 11 THEN 'AUTUMN' END, CASE WHEN m < 3 OR m > 10 THEN 'WINTER' END, upper(strftime(ts, '%b')), month(ts) || '/' || year(ts), day(ts) || CASE WHEN day(ts) IN (1, 21, 31) THEN 'ST' WHEN day(ts) IN (2, 22) THEN 'ND' WHEN day(ts) IN (3, 23) THEN 'RD' ELSE 'TH' END, ['SUN', 'MON', 'TUES', 'WED', 'THURS', 'FRI', 'SAT'][dayofweek(ts) + 1],
+ 'W' || ((dayofyear(ts) - 1) // 7 + 1), month(ts) || '/' || day(ts), {_DAY}, CASE WHEN h = 0 THEN 'MIDNIGHT' WHEN h = 12 THEN 'NOON' WHEN h < 12 THEN h || 'AM' ELSE (h - 12) || 'PM' END, h || ':' || strftime(ts, '%M')]) AS k FROM (SELECT event_id, ts, hour(ts) AS h, month(ts) - 1 AS m FROM events)) WHERE k IS NOT NULL"""
 
 
 @query("time_keys", _KEYS)
@@ -45,6 +45,20 @@ def time_keys(spark, d):
     return t(spark, d, "events").select("event_id", F.explode(T.get_timekeys("ts")).alias("timekey"))
 
 
+@query("time_search", "SELECT event_id FROM events WHERE day(ts) = 5 AND (month(ts) - 1 < 3 OR month(ts) - 1 > 10) AND hour(ts) > 5 AND hour(ts) < 12")
+def time_search(spark, d):
+    """A time query as clauses over time keys: every clause must meet the event's key set."""
+    spec = T.parse_timespec(F.lit("2023-2025 winter 5"))
+    clauses = F.concat(spec, F.array(F.array(F.lit("MORNING"))))
+    e = t(spark, d, "events").select("event_id", T.get_timekeys("ts").alias("keys"), clauses.alias("clauses"))
+    return e.filter(F.forall("clauses", lambda c: F.arrays_overlap(c, F.col("keys")))).select("event_id")
+
+
+@query("dms_keys", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || lpad(CAST(floor(abs(c_acctbal) / 100) AS INTEGER)::VARCHAR, 3, '0') AS degrees FROM customer")
+def dms_keys(spark, d):
+    return t(spark, d, "customer").select("c_custkey", F.substring(G.float_to_dms(F.col("c_acctbal") / 100), 1, 4).alias("degrees"))
+
+
 @query("time_order", "SELECT a.event_id AS a, b.event_id AS b, a.ts < b.ts AS earlier, a.ts >= b.ts AS later, round(epoch_us(a.ts) / 1e6 - epoch_us(b.ts) / 1e6, 3) AS diff FROM events a JOIN events b ON a.event_id = b.event_id + 1 AND a.event_id % 10 = 0")
 def time_order(spark, d):
     e = t(spark, d, "events")

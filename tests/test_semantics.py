@@ -163,6 +163,23 @@ def test_times(spark):
     assert list(r) == [[], ["WINTER"], ["2024", "3/2024", "MAR", "SPRING", "WINTER"], True, False, "month", None]
 
 
+def test_timespecs_and_keys(spark):
+    noon = F.lit("2024-03-22 12:05:00").cast("timestamp")
+    r = one(spark, times.parse_timespec(F.lit("May-August 1996-1998 x 3 3/7 summer")), times.parse_timespec(F.lit("Nov-feb")), times.get_timekeys(noon, "second"))
+    assert r.c0 == [["MAY", "JUN", "JUL", "AUG"], ["1996", "1997", "1998"], ["3RD"], ["3/7"], ["SUMMER"]]
+    assert r.c1 == [["NOV", "DEC", "JAN", "FEB"]]
+    assert set(r.c2) == {"2024", "SPRING", "MAR", "3/2024", "22ND", "FRI", "W12", "3/22", "NOON", "12:05", "WINTER"}
+
+
+def test_geo(spark):
+    from framesift.functions import geo
+
+    r = one(spark, geo.float_to_dms(F.lit(-71.5042)), geo.dms_to_float(F.lit("-6:30")), geo.degree_keys(F.lit(42.25)), geo.lon_plus(F.lit(179.0), 2.0), geo.parse_nmea(F.lit("$GPRMC,123519,A,4807.038,N,01131.000,W,022.4,084.4,230394,003.1,W*6A")), geo.geodistance(0.0, 0.0, 0.0, 1.0), geo.span_keys(F.lit(1.2), F.lit(3.0), 1.0))
+    assert r.c0 == "-0713015" and r.c1 == -6.5 and r.c2 == ["+042", "+04215", "+0421500"] and r.c3 == -179.0
+    assert round(r.c4["lat"], 4) == 48.1173 and round(r.c4["long"], 4) == -11.5167 and str(r.c4["time"]) == "1994-03-23 12:35:19"
+    assert round(r.c5, 3) == 60 * 1852 and r.c6 == [2.0, 3.0]
+
+
 def test_urls_and_markup(spark):
     m = urls.url_to_slotmap(F.lit("http://a.b.org:81/x/y.tar.gz?q=1#f"))
     r = one(spark, urls.slotmap_to_url(m), m["suffix"], urls.normalize_url(F.lit("../z.html"), F.lit("http://h/a/b/c.html")), urls.get_domains(F.lit("a.b.c")), markup.xml_get(F.lit("<r><a>1</a><a>2</a></r>"), "a"), markup.unparse_markup(markup.parse_xml(F.lit("<r i='1'>x<b/>y</r>"))), markup.parse_xml(F.lit("<r>")), markup.read_mime(F.lit("A: b\n\nbody")))
