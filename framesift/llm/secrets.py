@@ -133,9 +133,9 @@ def redact(docs: DataFrame, config: SecretConfig = SecretConfig(), mark: str = "
     The text is cut into blocks of 4,096 code points first, so taking a stretch of it costs the stretch, not the text.
     Rows without findings pass unchanged.
     """
-    found = scan(docs, config).filter(F.size("spans") > 0).select(F.col("_row").alias("_found"), F.col("spans").alias("_spans")).dropDuplicates(["_found"])
+    found = scan(docs, config).filter(F.size("spans") > 0).select(F.col("_row").alias("__found"), F.col("spans").alias("__spans")).dropDuplicates(["__found"])
     columns = docs.columns
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(found, F.col("_row") == F.col("_found"), "left")
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(found, F.col("__row") == F.col("__found"), "left")
     size = 4096
 
     def merged(spans: Column) -> Column:
@@ -156,8 +156,8 @@ def redact(docs: DataFrame, config: SecretConfig = SecretConfig(), mark: str = "
         tail = let(F.element_at(spans, -1)["end"], lambda e: stretch(blocks, e, e + F.greatest(F.length(F.col("text")) - e, F.lit(0))))
         return F.concat(F.array_join(gaps, ""), tail)
 
-    new = let(F.regexp_extract_all(F.col("text"), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)), lambda b: let(merged(F.col("_spans")), lambda s: rebuilt(b, s)))
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(new))
+    new = let(F.regexp_extract_all(F.col("text"), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)), lambda b: let(merged(F.col("__spans")), lambda s: rebuilt(b, s)))
+    rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(new))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return rows.select(*columns)

@@ -105,8 +105,10 @@ def test_redaction(spark, docs, texts):
     for r in out:
         assert r["n_chars"] == len(r["text"]) and not base_spans(r["text"])
     assert {r["text"] for r in out if r["doc_id"] == 7} == {"clean " * 2000}
-    same = collected(secrets.redact(docs))
-    assert len(same) == len(texts)
+    same = secrets.redact(docs)
+    assert same.columns == docs.columns
+    same = collected(same)
+    assert len(same) == len(texts) and {r["_row"] for r in same} == {"c", "x", None}
 
 
 # licenses
