@@ -208,14 +208,29 @@ def _cells(members: DataFrame, config: NearDupConfig) -> DataFrame:
     return m.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
-def _candidates(g: pd.DataFrame, s: np.ndarray, i: int, config: NearDupConfig) -> np.ndarray:
-    """Later rows of another component, and of the other block, whose size and signature allow a link with row i."""
-    n, comp = g["n"].to_numpy(), g["comp"].to_numpy()
-    ok = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= config.percent * np.maximum(n[i + 1 :], n[i]))
-    if g["x"].iat[0] != g["y"].iat[0]:
-        ok &= g["own"].to_numpy()[i + 1 :] != g["own"].iat[i]
-    js = np.flatnonzero(ok) + i + 1
-    return js[np.count_nonzero(s[js] != s[i], axis=1) <= config.distance] if len(js) else js
+class _Cell:
+    """The columns of one group as arrays, taken out of the frame once."""
+
+    def __init__(self, g: pd.DataFrame, config: NearDupConfig):
+        self.sigs, self.rep, self.n, self.comp = _matrix(g["sig"]), g["rep"].to_numpy(), g["n"].to_numpy(), g["comp"].to_numpy()
+        self.own = g["own"].to_numpy() if g["x"].iat[0] != g["y"].iat[0] else None
+        self.config = config
+
+    def candidates(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Later rows of another component, and of the other block, whose size and signature allow a link with row i; and
+        their distances."""
+        rest = slice(i + 1, None)
+        n, m = self.n[rest], self.n[i]
+        ok = (self.comp[rest] != self.comp[i]) & (100 * np.minimum(n, m) >= self.config.percent * np.maximum(n, m))
+        if self.own is not None:
+            ok &= self.own[rest] != self.own[i]
+        js = np.flatnonzero(ok)
+        if len(js):
+            js += i + 1
+            far = np.count_nonzero(self.sigs[js] != self.sigs[i], axis=1)
+            near = far <= self.config.distance
+            return js[near], far[near]
+        return js, js
 
 
 def nearest_pairs(members: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -223,18 +238,17 @@ def nearest_pairs(members: DataFrame, config: NearDupConfig) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches, ["key", "x", "y"]):
-            s, rep = _matrix(g["sig"]), g["rep"].to_numpy()
+            cell = _Cell(g, config)
+            rep = cell.rep.tolist()
             best: dict[int, tuple[int, int]] = {}
             for i in range(len(g) - 1):
-                js = _candidates(g, s, i, config)
-                if len(js):
-                    far = np.count_nonzero(s[js] != s[i], axis=1)
-                    for j, d in zip(js, far.tolist()):
-                        for p, q in ((i, int(j)), (int(j), i)):
-                            if p not in best or (d, rep[q]) < best[p]:
-                                best[p] = (d, rep[q])
+                js, far = cell.candidates(i)
+                for j, d in zip(js.tolist(), far.tolist()):
+                    for p, q in ((i, j), (j, i)):
+                        if p not in best or (d, rep[q]) < best[p]:
+                            best[p] = (d, rep[q])
             if best:
-                yield pd.DataFrame([(int(rep[p]), d, int(q)) for p, (d, q) in best.items()], columns=["rep", "far", "other"])
+                yield pd.DataFrame([(rep[p], d, q) for p, (d, q) in best.items()], columns=["rep", "far", "other"])
 
     found = _cells(members.select("key", "rep", "comp", "n", "sig"), config).mapInPandas(compare, "rep long, far long, other long")
     near = found.groupBy("rep").agg(F.min(F.struct("far", "other")).alias("m"))
@@ -250,11 +264,12 @@ def close_pairs(members: DataFrame, config: NearDupConfig) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ways = list(itertools.combinations(range(config.chunk), config.chunk - config.errors))
         for g in _groups(batches, ["key", "x", "y"]):
-            s, rep, n, number = _matrix(g["sig"]), g["rep"].to_numpy(), g["n"].to_numpy(), int(g["number"].iat[0])
+            cell, number = _Cell(g, config), int(g["number"].iat[0])
+            s, rep, n = cell.sigs, cell.rep, cell.n
             k = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
             out = []
             for i in range(len(g) - 1):
-                js = _candidates(g, s, i, config)
+                js, _ = cell.candidates(i)
                 if not len(js):
                     continue
                 same = (s[js] == s[i]).reshape(len(js), -1, config.chunk)
