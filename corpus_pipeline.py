@@ -17,9 +17,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    row = F.xxhash64("doc_id", "text")
-    kept = quality.quality_verdicts(docs.withColumn("doc_id", row)).filter("kept").select(F.col("doc_id").alias("__row")).distinct()
-    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").select(*docs.columns)
+    return quality.quality_verdicts(docs, keep=docs.columns).filter("kept").select("_keep.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +33,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes it: not at all, once, or up to three times."""
-    taken = mixing.mix(docs).filter("copies > 0").select(F.col("_hash").alias("__hash"), F.col("copies").alias("__copies")).distinct()
-    rows = docs.withColumn("__hash", mixing.row_hash()).join(taken, "__hash")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    taken = mixing.mix(docs, keep=docs.columns).filter("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_keep.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,13 +88,21 @@ def thresholds(rows: DataFrame, budgets: DataFrame, config: MixConfig = MixConfi
     raise AssertionError("unreachable")
 
 
-def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """doc_id, source, _hash, size, source_size, target, taken of every document, sized once into a shared table."""
-    rows = shared_table(sized(docs, config).select("doc_id", "source", "_size", "_hash"))
-    return mix_sized(rows, config)
+def mix(docs: DataFrame, config: MixConfig = MixConfig(), keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, _hash, size, source_size, target, taken, copies of every document, sized once into a shared table.
+
+    With ``keep``, the named columns are carried along as the struct ``_keep``.
+    """
+    held = [F.struct(*(F.col(c) for c in keep)).alias("_keep")] if keep else []
+    rows = shared_table(docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), row_hash(config).alias("_hash"), *held))
+    return mix_sized(rows, config, bool(keep))
+
+
+#: Up to so many sources, their targets are broadcast (a few numbers each); beyond it, documents are joined with them.
+FEW_SOURCES = 20_000
 
 
-def mix_sized(rows: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+def mix_sized(rows: DataFrame, config: MixConfig = MixConfig(), keep: bool = False) -> DataFrame:
     sources = rows.groupBy("source").agg(F.sum("_size").alias("source_size"))
     goals = shared_table(targets(sources, config), partitions=1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -103,8 +111,9 @@ def mix_sized(rows: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     # the boundary value itself is taken when that comes nearer to the budget
     cuts = cuts.select("_s", F.col("_lo").alias("_cut"), (F.col("_n") <= 2 * F.col("_left")).alias("_with"))
     goals = goals.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_src")
-    out = rows.join(goals, F.col("source").eqNullSafe(F.col("_src")))
+    few = goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    out = rows.join(F.broadcast(goals) if few else goals, F.col("source").eqNullSafe(F.col("_src")))
     flip = lambda c: c.bitwiseXOR(F.lit(-(2**63)).cast("long"))  # noqa: E731  unsigned order
     below = (flip(F.col("_hash")) < flip(F.col("_cut"))) | ((F.col("_hash") == F.col("_cut")) & F.col("_with"))
     copies = F.col("_whole") + F.when(F.coalesce(below, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "_hash", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "source", "_hash", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).alias("taken"), copies.alias("copies"), *(["_keep"] if keep else []))

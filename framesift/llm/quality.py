@@ -69,13 +69,18 @@ def _run_lengths(sorted_words: Column) -> Column:
     return let(sorted_words, of)
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, lang, counts of the base rules, characters by class, and common words with their counts."""
+def document_stats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, lang, counts of the base rules, characters by class, and common words with their counts.
+
+    ``keep`` names columns that are carried along as the struct ``_keep``.
+    """
+    held = [F.struct(*(F.col(c) for c in keep)).alias("_keep")] if keep else []
     vocabulary = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "lang", text.alias("_t"))
+    base = docs.select("doc_id", "lang", text.alias("_t"), *held)
+    kept = ["_keep"] if keep else []
     rows = base.select(
-        "doc_id", "lang",
+        "doc_id", "lang", *kept,
         F.length("_t").cast("long").alias("_len"),
         let(F.split("_t", f"[{WS}]", -1), lambda p: F.struct((F.size(p) - 1).cast("long").alias("spaces"), let(F.filter(p, lambda x: x != ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("repeat"))).alias("w"))).alias("_p"),
         let(F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(f"[^{WS}]")), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")).alias("n_dup_lines"),
@@ -96,7 +101,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
     }
     return rows.select(
         "doc_id", "lang", F.col("_p.w.n").alias("n_words"), (F.col("_len") - F.col("_p.spaces")).alias("word_chars"), (F.col("_len") - F.col("_no_symbols")).alias("n_symbols"), "n_dup_lines", F.col("_p.w.repeat").alias("n_repeat_words"),
-        F.array(*(of[k].cast("long") for k in CLASSES)).alias("classes"), "common",
+        F.array(*(of[k].cast("long") for k in CLASSES)).alias("classes"), "common", *kept,
     )
 
 
@@ -146,9 +151,13 @@ def _shares(of: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in sorted(of.items()) for x in pair)).cast("map<string,double>") if of else F.create_map().cast("map<string,double>")
 
 
-def quality_verdicts(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """doc_id, the base counts, base_failed, class_distance, word_distance, nearest language, kept; a row per input row."""
-    stats = shared_table(document_stats(docs))
+def quality_verdicts(docs: DataFrame, config: QualityConfig = QualityConfig(), keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, class_distance, word_distance, nearest language, kept; a row per input row.
+
+    With ``keep``, the named columns come back as the struct ``_keep``: they are written beside the statistics once, so
+    that a filter on the verdict needs no join with the documents.
+    """
+    stats = shared_table(document_stats(docs, keep))
     known = references(stats).collect()  # a row per word list at most, whatever the corpus
     refs = F.array(*(F.struct(F.lit(r.lang).alias("lang"), F.array(*map(F.lit, r.class_shares or [])).cast("array<double>").alias("class_shares"), _shares(r.word_shares or {}).alias("word_shares")) for r in known if r.class_shares))
     empty = "array<struct<lang:string,class_shares:array<double>,word_shares:map<string,double>>>"
@@ -168,5 +177,5 @@ def quality_verdicts(docs: DataFrame, config: QualityConfig = QualityConfig()) -
     far = ((chars >= config.min_chars) & (F.col("_d.class_distance") > config.max_class_distance)) | ((F.col("_d.n_common") >= config.min_common) & (F.col("_d.word_distance") > config.max_word_distance))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~F.coalesce(far, F.lit(False))).alias("kept"),
-        F.round("_d.class_distance", 6).alias("class_distance"), F.round("_d.word_distance", 6).alias("word_distance"), F.col("_d.language").alias("language"),
+        F.round("_d.class_distance", 6).alias("class_distance"), F.round("_d.word_distance", 6).alias("word_distance"), F.col("_d.language").alias("language"), *(["_keep"] if keep else []),
     )

@@ -79,11 +79,15 @@ def _found(text: Column, kind: str) -> Column:
     return F.when(there, match_spans(text, pattern, group, least)).otherwise(F.array().cast(SPANS))
 
 
-def scan_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, ``_row`` (a hash of id and text) and an array of (start, end) per kind; the text is read once."""
+def scan_rows(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, ``_row`` (a hash of id and text) and an array of (start, end) per kind; the text is read once.
+
+    ``keep`` names columns that are carried along as the struct ``_keep``.
+    """
+    held = [F.struct(*(F.col(c) for c in keep)).alias("_keep")] if keep else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), text.alias("_t"))
-    return base.select("doc_id", "_row", *(_found(F.col("_t"), k).alias(k) for k in KINDS))
+    base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), text.alias("_t"), *held)
+    return base.select("doc_id", "_row", *(["_keep"] if keep else []), *(_found(F.col("_t"), k).alias(k) for k in KINDS))
 
 
 def _kinded(kind: str, last: str = "kind"):
@@ -91,6 +95,10 @@ def _kinded(kind: str, last: str = "kind"):
     return lambda s: F.struct(s["start"], s["end"], number) if last == "kind" else F.struct(s["start"], number, s["end"])
 
 
+def _both_sides() -> Column:
+    return (F.size("endpoint") + F.size("key") > 0) & (F.size("assign") + F.size("access") + F.size("hex") > 0)
+
+
 def linked(rows: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
     """Weak findings with a complementary part in scope: _row and ``_linked``, the sorted (start, end, kind number).
 
@@ -99,7 +107,7 @@ def linked(rows: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
     """
     strong = F.concat(*(F.transform(k, _kinded(k)) for k in BASE))
     weak = F.concat(*(F.transform(k, _kinded(k)) for k in WEAK))
-    both = rows.filter((F.size("endpoint") + F.size("key") > 0) & (F.size("assign") + F.size("access") + F.size("hex") > 0)).select("_row", strong.alias("_s"), weak.alias("_w")).distinct()
+    both = rows.filter(_both_sides()).select("_row", strong.alias("_s"), weak.alias("_w")).distinct()
     w = both.select("_row", F.explode("_w").alias("w")).select("_row", F.col("w"), F.floor(F.col("w.start") / config.scope).alias("_b"))
     # an interval reaches from scope before its start to scope after its end; weak parts are keyed by their start only,
     # so a strong part is dealt to every bucket from which a weak part of up to two scopes' length could reach it
@@ -112,13 +120,17 @@ def linked(rows: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
     return hits.distinct().groupBy("_row").agg(F.sort_array(F.collect_list("w")).alias("_linked"))
 
 
-def scan(docs: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
-    """doc_id, _row, base arrays, and ``spans``: all (start, kind number, end), sorted."""
-    rows = shared_table(scan_rows(docs))
-    rows = rows.join(linked(rows, config), "_row", "left")
+def scan(docs: DataFrame, config: SecretConfig = SecretConfig(), keep: list[str] | None = None) -> DataFrame:
+    """doc_id, _row, base arrays, and ``spans``: all (start, kind number, end), sorted; with ``keep``, ``_keep`` too.
+
+    Only rows with both sides are joined with the links; the others, which are nearly all, go past the join.
+    """
+    rows = shared_table(scan_rows(docs, keep))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
+    rows = rows.filter(~_both_sides()).withColumn("_linked", none).unionByName(rows.filter(_both_sides()).join(linked(rows, config), "_row", "left").withColumn("_linked", F.coalesce("_linked", none)))
     arrays = [F.transform(k, _kinded(k, last="end")) for k in BASE]
-    weak = F.transform(F.coalesce("_linked", F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")), lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    return rows.select("doc_id", "_row", *BASE, F.sort_array(F.concat(*arrays)).alias("base"), F.sort_array(F.concat(*arrays, weak)).alias("spans"))
+    weak = F.transform("_linked", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    return rows.select("doc_id", "_row", *BASE, F.sort_array(F.concat(*arrays)).alias("base"), F.sort_array(F.concat(*arrays, weak)).alias("spans"), *(["_keep"] if keep else []))
 
 
 def joined(spans: Column) -> Column:
@@ -133,9 +145,8 @@ def redact(docs: DataFrame, config: SecretConfig = SecretConfig(), mark: str = "
     The text is cut into blocks of 4,096 code points first, so taking a stretch of it costs the stretch, not the text.
     Rows without findings pass unchanged.
     """
-    found = scan(docs, config).filter(F.size("spans") > 0).select(F.col("_row").alias("__found"), F.col("spans").alias("__spans")).dropDuplicates(["__found"])
     columns = docs.columns
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(found, F.col("__row") == F.col("__found"), "left")
+    rows = scan(docs, config, columns).select(F.col("spans").alias("__spans"), "_keep.*")
     size = 4096
 
     def merged(spans: Column) -> Column:
@@ -157,7 +168,7 @@ def redact(docs: DataFrame, config: SecretConfig = SecretConfig(), mark: str = "
         return F.concat(F.array_join(gaps, ""), tail)
 
     new = let(F.regexp_extract_all(F.col("text"), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)), lambda b: let(merged(F.col("__spans")), lambda s: rebuilt(b, s)))
-    rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(new))
+    rows = rows.withColumn("text", F.when(F.size("__spans") == 0, F.col("text")).otherwise(new))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        rows = rows.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return rows.select(*columns)
