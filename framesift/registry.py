@@ -35,3 +35,19 @@ def coverage() -> dict[str, list[str]]:
                     for operator in names:
                         out.setdefault(operator, []).append(f"{package}.{where}:{name}")
     return out
+
+
+def markdown() -> str:
+    """The coverage as a table, one row per function that stands for an operator."""
+    by_place: dict[str, list[str]] = {}
+    for operator, places in coverage().items():
+        for place in places:
+            by_place.setdefault(place, []).append(operator)
+    lines = ["# Operators and the functions that stand for them", "", "Made by `python -m framesift.registry`.", "", "| function | operators |", "|---|---|"]
+    for place in sorted(by_place):
+        lines.append(f"| `{place}` | {', '.join(f'`{o}`' for o in sorted(by_place[place]))} |".replace("||", "\\|\\|"))
+    return "\n".join(lines) + "\n"
+
+
+if __name__ == "__main__":
+    print(markdown(), end="")
