@@ -150,12 +150,12 @@ def sorted_by(s: Column | str, key: Callable[[Column], Column] | None = None) ->
 
 
 def choices_to_vector(s: Column | str) -> Column:
-    """CHOICES->VECTOR, CHOICES->LIST, CHOICE->LIST."""
+    """CHOICES->VECTOR, CHOICES->LIST, CHOICE->LIST, SORTED-CHOICE."""
     return proper_choice(s)
 
 
 def elements(seq: Column | str) -> Column:
-    """ELEMENTS, ELTS, SEQ->CHOICE, LIST->CHOICES, LIST->SET."""
+    """ELEMENTS, ELTS, SEQ->CHOICE, SEQ->CHOICES, SEQ->SET, LIST->CHOICES, LIST->SET."""
     return proper_choice(seq)
 
 
@@ -165,12 +165,15 @@ def is_one_of(value: Column | str, *candidates) -> Column:
 
 
 def log_ior(x: Column | str, y: Column | str) -> Column:
+    """%LOGIOR."""
     return _c(x).bitwiseOR(_c(y))
 
 
 def log_and(x: Column | str, y: Column | str) -> Column:
+    """%LOGAND."""
     return _c(x).bitwiseAND(_c(y))
 
 
 def log_xor(x: Column | str, y: Column | str) -> Column:
+    """%LOGXOR."""
     return _c(x).bitwiseXOR(_c(y))

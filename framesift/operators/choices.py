@@ -15,7 +15,7 @@ def choice(*sets: DataFrame) -> DataFrame:
 
 
 def intersection(first: DataFrame, *rest: DataFrame) -> DataFrame:
-    """INTERSECTION: chained semi joins on all columns (null-safe); an empty argument empties the result."""
+    """INTERSECTION, INTERSECTOR: chained semi joins on all columns (null-safe); an empty argument empties the result."""
     return reduce(lambda a, b: a.intersect(b.select(*a.columns)), rest, first).distinct()
 
 

@@ -112,3 +112,22 @@ def read_file(path: str) -> list:
         out.append(decode(data[at + 4 : at + 4 + n]))
         at += 4 + n
     return out
+
+
+def write_to_string(x) -> str:
+    """WRITE-TO-STRING: a value as JSON text."""
+    return json.dumps(x, ensure_ascii=False, sort_keys=True)
+
+
+def read_from_string(s: str):
+    """READ-FROM-STRING, PARSE-ARG: JSON text as a value; what is no JSON is a string."""
+    try:
+        return json.loads(s)
+    except ValueError:
+        return s
+
+
+def read_from_file(path: str):
+    """READ-FROM-FILE."""
+    with open(path, encoding="utf-8") as f:
+        return read_from_string(f.read())

@@ -12,7 +12,7 @@ def open_record_stream(spark: SparkSession, path: str, separator: str = "\n") ->
 
 
 def records(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
-    """READ-RECORD with a pattern: (keep..., position, record, spacing); spacing is the separator before the record."""
+    """READ-RECORD, READ-SPACING, RECORD-STREAM-DATA with a pattern: (keep..., position, record, spacing); spacing is the separator before the record."""
     pieces = F.split(text, pattern, -1)
     seps = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
     both = F.arrays_zip(pieces.alias("record"), seps.alias("spacing"))

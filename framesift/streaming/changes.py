@@ -14,12 +14,12 @@ from ..scratch import checkpoint_root
 
 
 def changes_since(log: DataFrame, stamp: int, key: str = "key") -> DataFrame:
-    """OID-CHANGES, ISERVER-CHANGES: the keys changed after a stamp; a pushed-down predicate and a map-side distinct."""
+    """OID-CHANGES, ISERVER-CHANGES, IXSERVER-CHANGES: the keys changed after a stamp; a pushed-down predicate and a map-side distinct."""
     return log.filter(F.col("stamp") > stamp).select(key).distinct()
 
 
 def needs_refresh(log: DataFrame, stamp: int) -> DataFrame:
-    """Whether the stamp is older than the oldest change that the log still holds, so that everything must be read again."""
+    """GET-SYNCSTAMP: the last stamp, and whether the stamp is older than the oldest change that the log still holds, so that everything must be read again."""
     return log.agg((F.min("stamp") > F.lit(stamp) + 1).alias("refresh"), F.max("stamp").alias("syncstamp"))
 
 

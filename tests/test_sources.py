@@ -23,6 +23,26 @@ def test_index_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(slot" in text and "EqualTo(value,x)" in text
 
 
+def test_catalog(spark, tmp_path):
+    import pytest
+
+    from framesift.sources.stores import Catalog
+
+    c = Catalog(spark, str(tmp_path / "stores"))
+    assert c.names() == [] and not c.exists("p")
+    one, two = spark.range(3).toDF("oid"), spark.range(5).toDF("oid")
+    assert c.commit("p", one, sort_by=["oid"]) == 1 and c.cache("p").count() == 3
+    assert c.commit("p", two) == 2 and c.open("p").count() == 5 and c.open("p", 1).count() == 3
+    assert tuple(c.metadata("p").first()) == ("p", 2, 5, "oid") and c.names() == ["p"]
+    c.set_read_only("p")
+    with pytest.raises(PermissionError):
+        c.commit("p", one)
+    c.compact("p")
+    assert c.versions("p") == [2]
+    with pytest.raises(KeyError):
+        c.open("p", 1)
+
+
 def test_snapshot(spark, tmp_path):
     pool = spark.range(50).select(F.col("id").alias("oid"), F.lit("v").alias("value"))
     pools.snapshot(pool, str(tmp_path / "p"))
