@@ -37,6 +37,8 @@ class NeighbourConfig:
     lanes: int = 8
 
 
+#: Up to so many query blocks, their list (16 MB then) is broadcast.
+FEW_BLOCKS = 1_000_000
 BLOCK = "dim int, block long, blob binary"
 
 
@@ -143,10 +145,12 @@ def nearest(vectors: DataFrame, queries: Column, config: NeighbourConfig = Neigh
     rows = vectors.select("vec_id", F.col("embedding")).filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
     candidates = shared_table(_packed(rows, config.block)).withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(config.lanes)).cast("int"))
     asked = shared_table(_packed(rows.filter(queries).coalesce(8), config.query_block))
-    blocks = asked.select("dim", F.col("block").alias("qblock"))
+    blocks = asked.select("dim", F.col("block").alias("qblock")).distinct()
+    if blocks.limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS:  # two numbers for each block of queries
+        blocks = F.broadcast(blocks)
     heads = asked.select("dim", F.col("block").alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(config.lanes - 1))).alias("lane"), F.lit(0).alias("side"), F.col("blob"))
     # every candidate block meets every query block of its length: a stated query set against all rows, block by block
-    tails = candidates.join(blocks.distinct(), "dim").select("dim", "qblock", "lane", F.lit(1).alias("side"), "blob")
+    tails = candidates.join(blocks, "dim").select("dim", "qblock", "lane", F.lit(1).alias("side"), "blob")
     cells = heads.unionByName(tails).repartition("dim", "qblock", "lane").sortWithinPartitions("dim", "qblock", "lane", "side")
     k = config.k
     found = cells.mapInPandas(lambda batches: _tiles(batches, k), "query_id long, vec_id long, score double")
