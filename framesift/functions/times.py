@@ -186,7 +186,7 @@ def parse_timestring(s) -> Column:
     """PARSE-TIMESTRING: struct (ts, precision) from ISO text, or from day/month/year, US dates and clock times."""
     t = F.trim(_c(s))
     out = parse_iso8601(t)
-    for pattern, fmt, precision in ((r"^\\d{1,2}/\\d{1,2}/\\d{4}$", "M/d/yyyy", "day"), (r"^\\d{1,2} [A-Za-z]{3} \\d{4}$", "d MMM yyyy", "day"), (r"^[A-Za-z]{3} \\d{1,2}, \\d{4}$", "MMM d, yyyy", "day"), (r"^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}$", "yyyy-MM-dd HH:mm:ss", "second")):
+    for pattern, fmt, precision in ((r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "day"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy", "day"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", "day"), (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss", "second")):
         value = F.try_to_timestamp(t, F.lit(fmt))
         out = F.when(out.isNotNull(), out).when(t.rlike(pattern) & value.isNotNull(), F.struct(value.alias("ts"), F.lit(precision).alias("precision")))
     return out
