@@ -70,18 +70,18 @@ def count_terms(rows: DataFrame, config: ToxicityConfig) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[str, list[int]] = {}
-            for text, label in zip(batch["text"], batch["toxic"]):
-                seen = set()
-                for w in set(_tokens(text) if isinstance(text, str) else ()):
-                    w = _EDGE.sub("", w)
-                    if len(w) >= config.shortest and w.isalpha():
-                        seen.update(w[:k] for k in range(config.shortest, min(len(w), config.longest) + 1))
-                        seen.add(w + "$")
-                for s in seen:
-                    sums.setdefault(s, [0, 0])[0 if label else 1] += 1
-            # what no toxic document of the batch holds can be summed as well: it lowers the lift
-            yield pd.DataFrame([(k, a, b) for k, (a, b) in sums.items()], columns=["term", "toxic", "other"])
+            for at in range(0, len(batch), 256):  # sums over a few texts at a time: what a task holds stays small
+                sums: dict[str, list[int]] = {}
+                for text, label in zip(batch["text"].iloc[at : at + 256], batch["toxic"].iloc[at : at + 256]):
+                    seen = set()
+                    for w in set(_tokens(text) if isinstance(text, str) else ()):
+                        w = _EDGE.sub("", w)
+                        if len(w) >= config.shortest and w.isalpha():
+                            seen.update(w[:k] for k in range(config.shortest, min(len(w), config.longest) + 1))
+                            seen.add(w + "$")
+                    for s in seen:
+                        sums.setdefault(s, [0, 0])[0 if label else 1] += 1
+                yield pd.DataFrame([(k, a, b) for k, (a, b) in sums.items()], columns=["term", "toxic", "other"])
 
     return rows.select("text", "toxic").mapInPandas(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter(F.col("toxic") >= config.min_toxic)
 
