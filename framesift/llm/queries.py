@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, mixing, neardup, neighbours, pages, quality, secrets, sentencepieces, toxicity, urls
-from .common import table
+from .common import spread, table
 from .oracles import ORACLES
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    return quality.quality_verdicts(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in secrets.BASE), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.scan_licenses(documents(spark, sf_dir, "doc_id", "text")).drop("blocks")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,16 +36,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.extract(spread(table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -49,7 +53,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentencepieces.encode_documents(table(spark, sf_dir, "documents"), MODEL)
+    found = sentencepieces.encode_documents(documents(spark, sf_dir, "doc_id", "text"), MODEL)
     return found.select("doc_id", "n_tokens", "n_bytes_fallback", sentencepieces.ids_digest().alias("ids_sha256"), "round_trip", "parity")
 
 
