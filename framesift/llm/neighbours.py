@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,8 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             scale = np.abs(x.astype(np.float64)).max(axis=1) / 127
             codes = np.rint(x / scale[:, None]).astype(np.int8)
             at[0] += 1
-            return pd.DataFrame({"dim": [dim], "block": [int(ids.min())], "blob": [pickle.dumps((ids, x, codes, scale), protocol=5)]})
+            name = (TaskContext.get().partitionId() << 32) + at[0]  # ids may repeat, so no id can name a block
+            return pd.DataFrame({"dim": [dim], "block": [name], "blob": [pickle.dumps((ids, x, codes, scale), protocol=5)]})
 
         for batch in batches:
             for i, v in zip(batch["vec_id"], batch["embedding"]):
@@ -88,6 +90,13 @@ def exact_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return total
 
 
+def _bar(low: np.ndarray, firsts: np.ndarray | None, k: int) -> float:
+    """The k-th largest lower bound, of which an id counts once; ``low`` is sorted by id where ``firsts`` is given."""
+    if firsts is not None:
+        low = np.maximum.reduceat(low, firsts)
+    return np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
+
+
 def _tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     """Rows come sorted by query block; a query block row (side 0) is followed by its candidate blocks (side 1)."""
     cell, queries, heaps = None, None, None
@@ -109,6 +118,11 @@ def _tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             if cell != (dim, qblock, lane):
                 continue
             ids, x, codes, scale = pickle.loads(blob)
+            by_id = np.argsort(ids, kind="stable")
+            ids, x, codes, scale = ids[by_id], x[by_id], codes[by_id], scale[by_id]
+            firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            if len(firsts) == len(ids):
+                firsts = None  # no id repeats
             norm, err = _error(codes, scale, x)
             near = (qcodes @ codes.astype(np.float32).T).astype(np.float64) * queries[3][:, None] * scale[None, :]
             # |<q,c> - <q',c'>| <= |q'||c-c'| + |q-q'||c'| + |q-q'||c-c'|
@@ -122,10 +136,8 @@ def _tiles(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
                 own = ids == q
                 if len(heap) == k:
                     bar = heap[0][0]
-                elif len(ids) - own.sum() >= k:
-                    bar = np.partition(np.where(own, -np.inf, low), len(ids) - k)[len(ids) - k]
                 else:
-                    bar = -np.inf
+                    bar = _bar(np.where(own, -np.inf, low), firsts, k)
                 keep = np.flatnonzero((high >= bar) & ~own)
                 if not len(keep):
                     continue

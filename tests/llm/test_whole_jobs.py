@@ -1,0 +1,21 @@
+"""Cases that an operator must not leave out: repeated rows, long parts, wrapped texts."""
+
+import numpy as np
+from helpers import collected
+from pyspark.sql import functions as F
+from test_neighbours import brute, rows_of
+
+from framesift.llm import neighbours
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """A block full of repeats of its best row, and query blocks that begin with the same repeated row."""
+    g = np.random.default_rng(7)
+    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5])] * 6 + [(40 + 20 * i, [float(x) for x in g.normal(size=2)]) for i in range(6)]
+    rows += [(1, [10.0, 0.0])] * 9 + [(i, [11.0 - i, 0.1 * i]) for i in range(2, 9)] + [(1, [10.0, 1.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = [(r.vec_id, r.embedding) for r in df.collect()]
+    for parts, block, lanes in ((1, 8, 1), (3, 4, 2), (1, 5, 2)):
+        config = neighbours.NeighbourConfig(k=3, block=block, query_block=3, lanes=lanes)
+        got = rows_of(neighbours.nearest(df.repartition(parts) if parts > 1 else df.coalesce(1), F.col("vec_id") % 20 == 0, config))
+        assert got == brute(held, lambda q: q % 20 == 0, 3)
