@@ -4,8 +4,8 @@ Strong findings (assigned values, access identifiers, long hexadecimal runs) are
 findings are parts that mean little alone: endpoints (URLs, hosts with ports) and mixed-case tokens that look like key
 material. They are reported only when complementary parts co-occur: an interval join inside a document links an access
 identifier or an assigned value with weak tokens, and endpoints with those, whose distance is at most ``scope`` code
-points. The join is an equi-join on (row, bucket of ``scope`` code points) with each strong part dealt to its
-neighbouring buckets, so a long document's findings spread over many keys.
+points. The join is an equi-join on (row, bucket of ``scope`` code points) with each part dealt to every bucket it
+touches or reaches, whatever its length, so a long document's findings spread over many keys.
 
 Places of matches come from splitting: the lengths of the pieces between matches and of the matches add up to the
 starts, in code points. Cases: null text counts as empty; a row without findings has zero counts and empty spans;
@@ -108,15 +108,17 @@ def linked(rows: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
     strong = F.concat(*(F.transform(k, _kinded(k)) for k in BASE))
     weak = F.concat(*(F.transform(k, _kinded(k)) for k in WEAK))
     both = rows.filter(_both_sides()).select("_row", strong.alias("_s"), weak.alias("_w")).distinct()
-    w = both.select("_row", F.explode("_w").alias("w")).select("_row", F.col("w"), F.floor(F.col("w.start") / config.scope).alias("_b"))
-    # an interval reaches from scope before its start to scope after its end; weak parts are keyed by their start only,
-    # so a strong part is dealt to every bucket from which a weak part of up to two scopes' length could reach it
+    # a strong part reaches from scope before its start to scope after its end; both sides are keyed by every bucket they
+    # touch, and a pair meets in the first bucket that both touch only, so it comes once whatever its length
+    bucket = lambda place: F.floor(place / config.scope)
+    w = both.select("_row", F.explode("_w").alias("w")).select("_row", "w", F.explode(F.sequence(bucket(F.col("w.start")), bucket(F.col("w.end")))).alias("_b"))
     s = both.select("_row", F.explode("_s").alias("s"))
-    s = s.select("_row", "s", F.explode(F.sequence(F.floor(F.col("s.start") / config.scope) - 3, F.floor(F.col("s.end") / config.scope) + 1)).alias("_b"))
-    near = (F.col("w.start") <= F.col("s.end") + config.scope) & (F.least(F.col("w.end"), F.col("w.start") + 2 * config.scope) >= F.col("s.start") - config.scope)
+    s = s.select("_row", "s", F.explode(F.sequence(bucket(F.col("s.start") - config.scope), bucket(F.col("s.end") + config.scope))).alias("_b"))
+    first = F.col("_b") == bucket(F.greatest(F.col("w.start"), F.col("s.start") - config.scope))
+    near = (F.col("w.start") <= F.col("s.end") + config.scope) & (F.col("w.end") >= F.col("s.start") - config.scope)
     overlap = (F.col("w.kind") == KINDS.index("key")) & (F.col("w.start") < F.col("s.end")) & (F.col("s.start") < F.col("w.end"))
     fits = F.when(F.col("w.kind") == KINDS.index("key"), F.col("s.kind") <= KINDS.index("access")).otherwise(F.lit(True))
-    hits = w.join(s, ["_row", "_b"]).filter(near & fits & ~overlap).select("_row", "w")
+    hits = w.join(s, ["_row", "_b"]).filter(first & near & fits & ~overlap).select("_row", "w")
     return hits.distinct().groupBy("_row").agg(F.sort_array(F.collect_list("w")).alias("_linked"))
 
 
