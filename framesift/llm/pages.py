@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction over same-host pages.
 
-1. Every page is read into a tree of its block elements; siblings of one kind (tag, class, id without digits) fold into
-   one node, so lists and runs of paragraphs have one shape whatever their length.
+1. Every page is read into a tree of its block elements; siblings of one kind (tag, class, id without digits, and whether
+   these, the role or a hidden mark make it chrome) fold into one node, so lists and runs of paragraphs have one shape whatever their length.
 2. For each host the most frequent tree over all its pages is the reference, and every page is aligned with it by simple
    tree matching (equal roots, children matched in order for the largest common tree).
 3. Over all pages of the host, a reference node whose text is (nearly) always the same becomes template; nodes whose
@@ -53,7 +53,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "thead": ("tr", "td", "th"), "body": ("head",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute with its value, so that neither a value nor the end of another name is read as an attribute.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>][^\s>]*)))?""")
+#: Ends the label of a node that is chrome by class, id, role or a hidden mark.
+MARK = "!"
 
 
 @dataclass(slots=True)
@@ -80,13 +83,13 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
                 chrome |= True
             elif name == "aria-hidden":
                 chrome |= value.strip() == "true"
-            else:
+            elif name in ("class", "id"):
                 names += [x for x in re.split(r"[^a-z]+", value) if x]
         if names and tag not in ("html", "body", "main", "article") or CHROME_COMMENTS.intersection(names):
             chrome |= not CHROME_WORDS.isdisjoint(names)
         if names:
-            label = ".".join([tag, *sorted(set(names))[:4]])
-    return label, chrome
+            label = ".".join([tag, *sorted(set(names))])
+    return (label + MARK if chrome and tag not in CHROME_TAGS else label), chrome
 
 
 CHROME_COMMENTS = frozenset(("comment", "comments", "reply", "replies"))
@@ -191,9 +194,8 @@ def read_shape(text: str) -> Node:
         elif m[0] == ")":
             last = stack.pop()
         else:
-            tag, _, names = m[0].partition(".")
-            chrome = tag in CHROME_TAGS or (tag not in ("html", "body", "main", "article") and not CHROME_WORDS.isdisjoint(names.split("."))) or not CHROME_COMMENTS.isdisjoint(names.split("."))
-            last = Node(m[0], tag, chrome, stack[-1])
+            tag = m[0].removesuffix(MARK).partition(".")[0]
+            last = Node(m[0], tag, tag in CHROME_TAGS or m[0].endswith(MARK), stack[-1])
             stack[-1].children[m[0]] = last
     return next(iter(root.children.values()))
 

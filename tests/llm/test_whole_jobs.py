@@ -7,7 +7,7 @@ from helpers import collected
 from pyspark.sql import functions as F
 from test_neighbours import brute, rows_of
 
-from framesift.llm import neighbours, secrets
+from framesift.llm import neighbours, pages, secrets
 
 
 def test_neighbours_of_repeated_rows(spark):
@@ -43,3 +43,17 @@ def test_long_weak_parts_are_linked(spark):
                 want += [(a, b)] * any(a <= d + 200 and b >= c - 200 for c, d in fits)
         assert got[i] == sorted(want), i
     assert all(got[i] for i in (1, 2, 3, 4, 5, 6, 8, 10)) and not any(got[i] for i in (7, 9, 11))
+
+
+def test_chrome_of_aligned_blocks(spark):
+    """Blocks of a wrapper's host are chrome by any of their names, by role and by hidden marks, and not by values."""
+    chrome = ["class='col grid large module sidebar'", "role=navigation", "hidden", "aria-hidden='true'", "class='a b c d e' id=zone-related", 'class="x" role="search"', "class=x hidden=''"]
+    plain = ["class=x", "class='a b c d'", "title='class=sidebar'", 'style="overflow: hidden"', "data-id=menu", "data-role='search'", "alt='see role=alert'", "aria-hidden=false"]
+
+    def page(i, tag):
+        inner = "".join(f"<div {a}>no {i} {n}</div>" for n, a in enumerate(chrome)) + "".join(f"<div {a}>yes {i} {n}</div>" for n, a in enumerate(plain))
+        return f"<html><body><{tag}>{inner}</{tag}></body></html>"
+
+    rows = [(i, f"http://{tag}.example/{i}", page(i, tag)) for t, tag in enumerate(("section", "article")) for i in range(10 * t, 10 * t + 8)]
+    got = {r["page_id"]: r["text"] for r in collected(pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == {i: " ".join(f"yes {i} {n}" for n in range(len(plain))) for i, _, _ in rows}
