@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates, as DataFrame expressions only.
 
-Blocks are the lines of a text, as sets of words; templates are sets of words too. A block matches a template when it
+Blocks are the lines of a text, as sets of words, and, for notices wrapped over lines, all windows of 1 / ``threshold``
+times as many consecutive words as the template has; templates are sets of words too. A block matches a template when it
 holds at least ``threshold`` of the template's words. Words of the templates are ordered by how many documents hold them
 (counted over all documents), rarest first. Filters, in order: prefix (a block that can match holds one of the first
 |T| - need + 1 words of the template), length (at least ``need`` template words in the block), position (the shared word
 found first leaves enough words behind it on both sides); what survives is verified by intersection, so nothing that
-meets the threshold is missed. The template side is a literal table whose size is that of the list given, so the join
+meets the threshold is missed. Windows are taken around words of the template's prefix only, one of which each window
+that can match holds. The template side is a literal table whose size is that of the list given, so the join
 runs inside the scan of the documents, without a shuffle.
 
 Beside the join, the places of four fixed phrases are reported. Cases: null text counts as empty (no words, no labels,
@@ -108,8 +110,34 @@ def _block_matches(line: Column, ranks: dict[str, int], config: LicenseConfig) -
     return let(block, against)
 
 
+def _wrapped_matches(w: Column, ranks: dict[str, int], config: LicenseConfig) -> Column:
+    """(label, share) of every template that some window of the text's words holds well enough; the best window's share."""
+    split = []
+    for label, text in config.templates:
+        t = sorted(set(text.split()), key=ranks.get)
+        need = math.ceil(config.threshold * len(t) - 1e-9)
+        split.append((label, t, need, t[: len(t) - need + 1], math.ceil(len(text.split()) / config.threshold - 1e-9)))
+    anchors = F.filter(F.transform(w, lambda x, i: F.when(x.isin(sorted({p for s in split for p in s[3]})), i)), lambda i: i.isNotNull())
+
+    def best(a: Column, t: list[str], need: int, prefix: list[str], size: int) -> Column:
+        tokens = F.array(*map(F.lit, t))
+        held = lambda at, n: F.size(F.array_intersect(tokens, F.slice(w, at + 1, F.lit(n))))
+        start = lambda i: F.greatest(i - (size - 1), F.lit(0))
+        near = F.filter(a, lambda i: F.get(w, i).isin(prefix) & (held(start(i), 2 * size - 1) >= need))
+        return F.array_max(F.flatten(F.transform(near, lambda i: F.transform(F.sequence(start(i), i), lambda at: held(at, size)))))
+
+    def against(a: Column) -> Column:
+        found = [F.struct(F.lit(label).alias("label"), let(best(a, t, need, prefix, size), lambda n: F.when(n >= need, n / F.lit(len(t)))).alias("share")) for label, t, need, prefix, size in split]  # noqa: B023
+        return F.filter(F.array(*found), lambda x: x["share"].isNotNull())
+
+    return let(anchors, against)
+
+
 def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig()) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``blocks``: (line, label, share)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``blocks``: (line, label, share).
+
+    The line of a block is null where the words stand on several lines, and no line holds them as well.
+    """
     ranks = word_ranks(docs, config)
     # every template has a word of its prefix in a block that matches; none of these words in the text: no block matches
     prefixes = sorted({w for _, t in config.templates for w in sorted(set(t.split()), key=ranks.get)[: len(set(t.split())) - math.ceil(config.threshold * len(set(t.split())) - 1e-9) + 1]})
@@ -122,6 +150,14 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig()) -> D
         return F.array_sort(F.concat(*(_labelled(_phrase_places(w, p), PHRASES[p]) for p in PHRASES)))
 
     blocks = F.flatten(F.transform(F.split("_t", "\n", -1), lambda line, n: F.transform(_block_matches(line, ranks, config), lambda m: F.struct(n.cast("long").alias("line"), m["label"].alias("label"), m["share"].alias("share")))))
+    wrapped = let(_words(F.translate("_t", UPPER, LOWER)), lambda w: _wrapped_matches(w, ranks, config))
+    wrapped = F.when(F.col("_t").contains("\n"), wrapped).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+
+    def both(of_lines: Column) -> Column:
+        more = F.filter(wrapped, lambda m: ~F.exists(of_lines, lambda x: (x["label"] == m["label"]) & (x["share"] >= m["share"])))
+        return F.concat(of_lines, F.transform(more, lambda m: F.struct(F.lit(None).cast("long").alias("line"), m["label"].alias("label"), m["share"].alias("share"))))
+
+    blocks = let(blocks, both)
     rows = rows.select(
         "doc_id", F.size(_words(F.col("_t"))).cast("long").alias("n_words"),
         F.when(may_name, let(_words(F.translate("_t", UPPER, LOWER)), places)).otherwise(no_places).alias("_places"),

@@ -1,13 +1,14 @@
 """Cases that an operator must not leave out: repeated rows, long parts, wrapped texts."""
 
 import re
+import textwrap
 
 import numpy as np
 from helpers import collected
 from pyspark.sql import functions as F
 from test_neighbours import brute, rows_of
 
-from framesift.llm import neighbours, pages, secrets
+from framesift.llm import licenses, neighbours, pages, secrets
 
 
 def test_neighbours_of_repeated_rows(spark):
@@ -57,3 +58,38 @@ def test_chrome_of_aligned_blocks(spark):
     rows = [(i, f"http://{tag}.example/{i}", page(i, tag)) for t, tag in enumerate(("section", "article")) for i in range(10 * t, 10 * t + 8)]
     got = {r["page_id"]: r["text"] for r in collected(pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
     assert got == {i: " ".join(f"yes {i} {n}" for n in range(len(plain))) for i, _, _ in rows}
+
+
+NOTICES = {
+    "gpl": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "proprietary": "All rights reserved. No part of this publication may be reproduced, distributed or transmitted without permission",
+}
+
+
+def test_wrapped_notices(spark):
+    """A notice wrapped over lines is found with the share that its best window holds; its words apart are not."""
+    rows = [(10 * n + width % 10, lead.join(["", *textwrap.wrap(text, width)])) for n, text in enumerate(NOTICES.values()) for width, lead in ((41, "\n"), (33, "\n * "), (60, "\r\n# "))]
+    rows += [(900 + n, "\n".join(x for w in text.split() for x in (w, "meadow lantern river garden walrus"))) for n, text in enumerate(NOTICES.values())]
+    rows += [(999, "filler words here\n" * 3000 + rows[0][1] + "\nfiller words here" * 3000)]
+    config = licenses.LicenseConfig()
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()}
+    for i, text in rows:
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        want, score = set(), 0.0
+        for label, template in config.templates:
+            t, size = set(template.split()), -(-len(template.split()) * 5 // 4)
+            blocks = [re.findall(r"[a-z0-9]+", x) for x in text.lower().split("\n")] + [words[k : k + size] for k in range(len(words))]
+            share = max(len(t.intersection(b)) / len(t) for b in blocks)
+            if share >= config.threshold - 1e-9:
+                want.add(label)
+                score = max(score, share)
+        assert set(filter(None, got[i].labels.split(","))) - set(got[i].base_labels.split(",")) == want - set(got[i].base_labels.split(",")), i
+        assert got[i].n_base or got[i].score == score, i
+    for n, label in enumerate(NOTICES):
+        assert all(label in got[10 * n + k].labels.split(",") and any(b.line is None for b in got[10 * n + k].blocks) for k in (0, 1, 3)), label
+        assert label not in got[900 + n].labels.split(",")
+    assert "gpl" in [b.label for b in got[999].blocks]
