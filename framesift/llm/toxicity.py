@@ -5,8 +5,9 @@
 2. Matching. The trie is walked under a Levenshtein automaton: a state is the set of (trie node, edits so far) that are
    still alive, and states are made into a table as they are met, so most words die after a few characters. Exact and
    misspelled terms are told apart.
-3. Context. Each hit gets the window of words around it. Quotation marks and words of reporting lower its weight, words
-   of address and further hits raise it; so a text that quotes a term scores less than one that uses it.
+3. Context. Each hit gets the window of words around it. Quotation marks at it or around it and words of reporting lower
+   its weight, words of address and further hits raise it; so a text that quotes a term scores less than one that uses
+   it. Marks at the edges of words are no part of them.
 4. Score. A logistic regression over about a dozen of these sums, fitted on labelled training rows.
 
 Labels are learned only from rows whose crc32 of the id, as text, is not 2 modulo 4; labels, language, source and id are
@@ -204,16 +205,47 @@ class Lexicon:
         return min(x for x in (best, last) if x) if best or last else None
 
     def cached(self, word: str) -> tuple[int, int] | None:
+        """The better match of the word as it stands and, where marks stand at its edges, without these."""
         if word not in self.words:
             if len(self.words) > 200_000:
                 self.words.clear()
-            self.words[word] = self.match(word)
+            found = [self.match(w) for w in {word, _EDGE.sub("", word)} if w]
+            self.words[word] = min((m for m in found if m), default=None)
         return self.words[word]
 
 
 FEATURES = ("exact_sum", "exact_max", "exact_distinct", "exact_rate", "misspelled", "misspelled_rate", "quoted", "address", "dense", "hits", "any_exact", "short", "seed", "strong", "any_strong")
 
 
+def _quoted(words: list[str], i: int, window: int) -> bool:
+    """Whether quotation marks stand at the word's edges, or are opened before it and closed after it within the window."""
+
+    def marks(w: str) -> tuple[bool, bool]:
+        if w[0].isalnum() and w[-1].isalnum():
+            return False, False
+        core = _EDGE.sub("", w)
+        at = w.find(core) if core else 0
+        return not QUOTES.isdisjoint(w[:at] if core else w), not QUOTES.isdisjoint(w[at + len(core) :] if core else w)
+
+    if any(marks(words[i])):
+        return True
+    for before in reversed(words[max(0, i - window) : i]):
+        opens, closes = marks(before)
+        if opens and (not closes or not _EDGE.sub("", before)):  # a mark that stands alone is taken to open
+            break
+        if closes:
+            return False
+    else:
+        return False
+    for after in words[i + 1 : i + 1 + window]:
+        opens, closes = marks(after)
+        if closes:
+            return True
+        if opens:
+            return False
+    return False
+
+
 def features(text: str | None, lexicon: Lexicon, config: ToxicityConfig) -> np.ndarray:
     out = np.zeros(len(FEATURES))
     words = _tokens(text or "")
@@ -222,8 +254,6 @@ def features(text: str | None, lexicon: Lexicon, config: ToxicityConfig) -> np.n
     known = lexicon.words
     for i, w in enumerate(words):
         m = known[w] if w in known else cached(w)
-        if m is None and not w[0].isalnum():
-            m = cached(_EDGE.sub("", w)) if len(w) > 1 else None
         if m is not None:
             hits.append((i, *m))
     n = len(words)
@@ -235,9 +265,8 @@ def features(text: str | None, lexicon: Lexicon, config: ToxicityConfig) -> np.n
     places = [h[0] for h in hits]
     for j, (i, edits, term) in enumerate(hits):
         weight = lexicon.terms[term][2]
-        around = words[max(0, i - config.window) : i] + words[i + 1 : i + 1 + config.window]
-        word = words[i]
-        in_quotes = word[0] in QUOTES or word[-1] in QUOTES
+        around = [w if w[0].isalnum() and w[-1].isalnum() else _EDGE.sub("", w) for w in words[max(0, i - config.window) : i] + words[i + 1 : i + 1 + config.window]]
+        in_quotes = _quoted(words, i, config.window)
         told = not REPORTING.isdisjoint(around)
         share = (0.3 if in_quotes else 1.0) * (0.6 if told and in_quotes else 1.0)
         if in_quotes:

@@ -8,7 +8,7 @@ from helpers import collected
 from pyspark.sql import functions as F
 from test_neighbours import brute, rows_of
 
-from framesift.llm import licenses, neighbours, pages, secrets
+from framesift.llm import licenses, neighbours, pages, secrets, toxicity
 
 
 def test_neighbours_of_repeated_rows(spark):
@@ -93,3 +93,20 @@ def test_wrapped_notices(spark):
         assert all(label in got[10 * n + k].labels.split(",") and any(b.line is None for b in got[10 * n + k].blocks) for k in (0, 1, 3)), label
         assert label not in got[900 + n].labels.split(",")
     assert "gpl" in [b.label for b in got[999].blocks]
+
+
+def test_terms_beside_marks():
+    """Marks at the edges neither hide a term nor make it a misspelling; quotation and reporting count around a hit."""
+    lexicon, config = toxicity.Lexicon([("idiot", True, 3.0), ("scum", True, 3.0), ("lowei", False, 3.0)]), toxicity.ToxicityConfig()
+    at = {name: n for n, name in enumerate(toxicity.FEATURES)}
+    of = lambda text: toxicity.features(text, lexicon, config)
+    for w in ("scum.", "scum***", "idiot!!", "idiot###", "idiot.", "(idiot)", "##idiot##", "loweisch,"):
+        x = of(f"such a {w} here")
+        assert x[at["exact_distinct"]] == 1 and x[at["misspelled"]] == 0, w
+    assert of("such an idoit! here")[at["misspelled"]] > 0
+    for text in ('the words "total idiot there" stand', "« you idiot now » stands", 'an "idiot", then', "“idiot now” then", 'an "awful idiot." then'):
+        assert of(text)[at["quoted"]] == 1, text
+    for text in ('an "old" idiot and "new" things', 'an idiot says "hello there"', 'the "old thing" idiot', "it's an idiot"):
+        assert of(text)[at["quoted"]] == 0, text
+    assert of('he said: "idiot" then')[at["exact_sum"]] < of('he sang: "idiot" then')[at["exact_sum"]]
+    assert of("you, idiot")[at["address"]] == 1
