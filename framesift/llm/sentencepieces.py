@@ -218,7 +218,7 @@ ENCODED = "doc_id long, input_ids array<int>, n_tokens long, n_bytes_fallback lo
 def encode_documents(docs: DataFrame, model_path: str, *, parity_every: int = 64, batch_chars: int = 400_000, threads: int = 2) -> DataFrame:
     """doc_id, input_ids, n_tokens, n_bytes_fallback, round_trip, parity of every row.
 
-    parity compares with the original library, for rows whose id is divisible by ``parity_every`` (null elsewhere); it
+    parity compares with the original library, for rows whose id is divisible by ``parity_every`` or null (null elsewhere); it
     is a check of the rebuilt model, not part of the encoding. ``threads`` bounds the library's threads in a worker.
     """
     with open(model_path, "rb") as f:
@@ -253,7 +253,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, parity_every: int = 64
                         pa.array(counts, pa.int64(), mask=null),
                         pa.array([n for _, n in back], pa.int64(), mask=null),
                         pa.array([None if w is None else w == b for w, (b, _) in zip(wanted, back)], pa.bool_()),
-                        pa.array([original.encode(x) == f if x is not None and i is not None and i % parity_every == 0 else None for i, x, f in zip(keys, part, found)], pa.bool_()),
+                        pa.array([original.encode(x) == f if x is not None and (i or 0) % parity_every == 0 else None for i, x, f in zip(keys, part, found)], pa.bool_()),
                     ],
                     names=["doc_id", "input_ids", "n_tokens", "n_bytes_fallback", "round_trip", "parity"],
                 )

@@ -8,7 +8,7 @@ from helpers import collected
 from pyspark.sql import functions as F
 from test_neighbours import brute, rows_of
 
-from framesift.llm import licenses, neighbours, pages, secrets, toxicity
+from framesift.llm import licenses, neighbours, pages, queries, secrets, sentencepieces, toxicity
 
 
 def test_neighbours_of_repeated_rows(spark):
@@ -110,3 +110,11 @@ def test_terms_beside_marks():
         assert of(text)[at["quoted"]] == 0, text
     assert of('he said: "idiot" then')[at["exact_sum"]] < of('he sang: "idiot" then')[at["exact_sum"]]
     assert of("you, idiot")[at["address"]] == 1
+
+
+def test_parity_of_every_text(spark, sf):
+    got = collected(queries.QUERIES["op6_sentencepiece"](spark, sf))
+    assert len(got) > 100 and all(r["parity"] is True for r in got if r["n_tokens"] is not None)
+    odd = spark.createDataFrame([(None, "no id"), (3, None), (5, "")], "doc_id long, text string")
+    found = collected(sentencepieces.encode_documents(odd, queries.MODEL, parity_every=1))
+    assert {r["doc_id"]: r["parity"] for r in found} == {None: True, 3: None, 5: True}
