@@ -79,16 +79,22 @@ def quality_sql() -> str:
  b AS (SELECT d.doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
    len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
    coalesce(x.n, 0) AS n_repeat_words, {counts} FROM d LEFT JOIN x USING (doc_id)),
- s AS (SELECT *, {total} AS chars FROM b),
- r AS (SELECT lang, {", ".join(f"sum({k}) / sum(chars) AS {k}" for k in CLASSES)} FROM s WHERE lang IN (SELECT lang FROM v) GROUP BY 1),
- k AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest(string_split_regex(lower(t), '[\\x00-\\x60\\x7B-\\x7F]+')) AS word FROM d) GROUP BY 1, 2, 3),
- q AS (SELECT lang, word, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM k JOIN v USING (lang, word) GROUP BY 1, 2),
- l AS (SELECT k.doc_id, r.lang, k.n, q.q, sum(k.n) OVER (PARTITION BY k.doc_id, r.lang) AS total FROM k JOIN q USING (word) JOIN r ON r.lang = q.lang),
- z AS (SELECT doc_id, lang, any_value(total) AS common, sqrt(greatest((sum({part("(n / total)", "q")}) + 1 - sum(q)) / 2, 0)) AS d FROM l GROUP BY 1, 2),
- h AS (SELECT s.doc_id, r.lang AS language, s.lang = r.lang AS own, CASE WHEN chars > 0 THEN sqrt(greatest(({distance}) / 2, 0)) ELSE 0 END AS cd, coalesce(z.d, 0) AS wd, coalesce(z.common, 0) AS common FROM s CROSS JOIN r LEFT JOIN z ON z.doc_id = s.doc_id AND z.lang = r.lang),
+ s AS (SELECT *, {total} AS chars, n_words < {c.min_words} OR 100 * n_repeat_words > {c.max_repeat_percent} * n_words AS base_failed FROM b),
+ r1 AS (SELECT lang, {", ".join(f"sum({k}) / sum(chars) AS {k}" for k in CLASSES)} FROM s WHERE lang IN (SELECT lang FROM v) GROUP BY 1),
+ i AS (SELECT s.doc_id, s.lang FROM s JOIN r1 r USING (lang) WHERE NOT base_failed AND chars > 0 AND sqrt(greatest(({distance}) / 2, 0)) <= {c.trim}),
+ o AS (SELECT doc_id, lang FROM i UNION ALL SELECT doc_id, lang FROM s WHERE lang IN (SELECT lang FROM v) AND lang NOT IN (SELECT lang FROM i)),
+ r AS (SELECT s.lang, {", ".join(f"sum({k}) / sum(chars) AS {k}" for k in CLASSES)} FROM s JOIN o USING (doc_id) GROUP BY 1),
+ k AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest(string_split_regex(lower(t), '[\\x00-\\x60\\x7B-\\x7F]+')) AS word FROM d) WHERE word <> '' GROUP BY 1, 2, 3),
+ y AS (SELECT doc_id, sum(n) AS tokens FROM k GROUP BY 1),
+ q0 AS (SELECT lang, sum(tokens) AS tokens FROM o JOIN y USING (doc_id) GROUP BY 1),
+ q AS (SELECT k.lang, k.word, sum(k.n) / any_value(q0.tokens) AS q FROM k JOIN o USING (doc_id) JOIN v ON v.lang = k.lang AND v.word = k.word JOIN q0 ON q0.lang = k.lang GROUP BY k.lang, k.word),
+ q1 AS (SELECT lang, sum(q) AS listed FROM q GROUP BY 1),
+ l AS (SELECT k.doc_id, q.lang, sum({part("(k.n / y.tokens)", "q.q")}) AS d, sum(q.q) AS q, sum(k.n) AS n FROM k JOIN q USING (word) JOIN y ON y.doc_id = k.doc_id GROUP BY 1, 2),
+ z AS (SELECT y.doc_id, q1.lang, sqrt(greatest((coalesce(l.d, 0) + listed - coalesce(l.q, 0) + {part("((tokens - coalesce(l.n, 0)) / tokens)", "(1 - listed)")}) / 2, 0)) AS d FROM y CROSS JOIN q1 LEFT JOIN l ON l.doc_id = y.doc_id AND l.lang = q1.lang),
+ h AS (SELECT s.doc_id, r.lang AS language, s.lang = r.lang AS own, coalesce(y.tokens, 0) AS tokens, CASE WHEN chars > 0 THEN sqrt(greatest(({distance}) / 2, 0)) ELSE 0 END AS cd, coalesce(z.d, 0) AS wd FROM s CROSS JOIN r LEFT JOIN z ON z.doc_id = s.doc_id AND z.lang = r.lang LEFT JOIN y ON y.doc_id = s.doc_id),
  f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(own, false) DESC, cd, wd) = 1)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {c.min_words} OR 100 * n_repeat_words > {c.max_repeat_percent} * n_words AS base_failed,
-  NOT (n_words < {c.min_words} OR 100 * n_repeat_words > {c.max_repeat_percent} * n_words) AND NOT (chars >= {c.min_chars} AND cd > {c.max_class_distance} OR common >= {c.min_common} AND wd > {c.max_word_distance}) AS kept,
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (chars >= {c.min_chars} AND cd > {c.max_class_distance} + {c.class_slack} / sqrt(greatest(chars, 1)) OR tokens >= {c.min_tokens} AND wd > {c.max_word_distance} + {c.word_slack} / sqrt(greatest(tokens, 1))) AS kept,
   round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, language FROM s JOIN f USING (doc_id)"""
 
 

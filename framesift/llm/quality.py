@@ -1,14 +1,19 @@
 """Quality rules by distribution divergence, as DataFrame expressions only.
 
-Each document gets two histograms: characters by class, and common words of the languages that have a word list.
-References are the same histograms summed over all documents of a language. A document is rejected when the
-Jensen-Shannon distance to its language's reference is too large, for either histogram, and the document is long
-enough for the distance to mean something.
+Each document gets two histograms: characters by class, and words by the common words of the languages that have a word
+list, with one bin for all other words. References are the same histograms summed over the documents of a language in
+two rounds: first over all, then over those that pass the base rules and whose characters lie within ``trim`` of the
+first round's, so that junk does not shape what it is held against (a language without such documents keeps all). A
+document is rejected when the Jensen-Shannon distance to its language's reference is too large, for either histogram.
+Short texts stray from any reference by chance, about with one over the root of their length; so the bound falls with
+the length, and below a least length, in the document's own characters or words, a histogram is not looked at.
 
 Cases: null text counts as empty (no words, so the length rule rejects it); an unknown or null language is held
 against every reference and the nearest counts; a language without documents has no reference and rejects nothing;
-repeated rows each count and each come back; other columns of the input are not touched or needed. Text is read once:
-the statistics, a few dozen numbers a document, go to a shared table from which references and verdicts are made.
+repeated rows each count and each come back; an empty table gives an empty result; other columns of the input, whatever
+their names, are not touched or needed; a text of any length is read once and costs n log n: the statistics, a few dozen
+numbers a document, go to a shared table from which references and verdicts are made. Three-word windows are compared by
+64-bit hashes: two different windows of one text of n words agree with a chance below n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -34,11 +39,16 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "ascii_other",
 class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Below so many characters (words in the lists) the distance of that histogram is not looked at.
+    #: Below so many characters (words of letters) the distance of that histogram is not looked at.
     min_chars: int = 200
-    min_common: int = 20
-    max_class_distance: float = 0.3
-    max_word_distance: float = 0.75
+    min_tokens: int = 20
+    #: A document is far beyond distance + slack / sqrt(characters), or distance + slack / sqrt(words of letters).
+    max_class_distance: float = 0.14
+    class_slack: float = 1.0
+    max_word_distance: float = 0.18
+    word_slack: float = 1.7
+    #: Documents up to this class distance from the first round's reference make the second round's.
+    trim: float = 0.25
 
 
 def _repeat_words(w: Column) -> Column:
@@ -70,7 +80,8 @@ def _run_lengths(sorted_words: Column) -> Column:
 
 
 def document_stats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, lang, counts of the base rules, characters by class, and common words with their counts.
+    """Per document: doc_id, lang, counts of the base rules, characters by class, words of letters (``n_tokens``), and the
+    common words among them with their counts.
 
     ``keep`` names columns that are carried along as the struct ``_keep``.
     """
@@ -86,7 +97,13 @@ def document_stats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         let(F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(f"[^{WS}]")), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")).alias("n_dup_lines"),
         F.length(F.regexp_replace("_t", r"[#*$%&|<>]+", "")).cast("long").alias("_no_symbols"),
         F.struct(F.regexp_replace("_t", rf"[a-z{WS}]+", "").alias("s")).alias("_rest"),
-        _run_lengths(F.sort_array(F.filter(F.split(F.lower("_t"), r"[\x00-\x60\x7B-\x7F]+", -1), lambda x: x.isin(vocabulary)))).alias("common"),
+        let(
+            F.split(F.lower("_t"), r"[\x00-\x60\x7B-\x7F]+", -1),
+            lambda ts: F.struct(
+                (F.size(ts) - F.when(F.get(ts, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(ts) > 1) & (F.get(ts, F.size(ts) - 1) == ""), 1).otherwise(0)).cast("long").alias("n"),
+                _run_lengths(F.sort_array(F.filter(ts, lambda x: x.isin(vocabulary)))).alias("common"),
+            ),
+        ).alias("_tokens"),
     )
 
     def classes(s: Column) -> Column:
@@ -101,24 +118,42 @@ def document_stats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     }
     return rows.select(
         "doc_id", "lang", F.col("_p.w.n").alias("n_words"), (F.col("_len") - F.col("_p.spaces")).alias("word_chars"), (F.col("_len") - F.col("_no_symbols")).alias("n_symbols"), "n_dup_lines", F.col("_p.w.repeat").alias("n_repeat_words"),
-        F.array(*(of[k].cast("long") for k in CLASSES)).alias("classes"), "common", *kept,
+        F.array(*(of[k].cast("long") for k in CLASSES)).alias("classes"), F.col("_tokens.n").alias("n_tokens"), F.col("_tokens.common").alias("common"), *kept,
     )
 
 
-def references(stats: DataFrame) -> DataFrame:
+def _base_failed(config: QualityConfig) -> Column:
+    return (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_percent * F.col("n_words"))
+
+
+def _class_shares(known: DataFrame, core: Column) -> DataFrame:
+    """Per language the shares of the classes over the documents that ``core`` marks; over all, where it marks none."""
+    sums = known.withColumn("_core", core).groupBy("lang").agg(
+        F.max("_core").alias("_some"), *(F.sum(F.when(F.col("_core"), F.col("classes")[i])).alias(f"core_{c}") for i, c in enumerate(CLASSES)), *(F.sum(F.col("classes")[i]).alias(f"all_{c}") for i, c in enumerate(CLASSES))
+    )
+    sums = sums.select("lang", *(F.when(F.col("_some"), F.col(f"core_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in CLASSES))
+    total = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
+    return sums.select("lang", F.when(total > 0, F.array(*(F.col(c) / total for c in CLASSES))).alias("class_shares"))
+
+
+def references(stats: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per language that has a word list: class shares, and the shares of its common words as a map.
 
-    Every document of the language counts. The result has at most as many rows as there are word lists.
+    The result has at most as many rows as there are word lists, as has the first round's, which comes to the driver.
     """
     known = stats.filter(F.col("lang").isin(list(COMMON_WORDS)))
-    by_class = known.groupBy("lang").agg(*(F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(CLASSES)))
-    total = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
-    by_class = by_class.select("lang", F.when(total > 0, F.array(*(F.col(c) / total for c in CLASSES))).alias("class_shares"))
+    first = [r for r in _class_shares(known, F.lit(True)).collect() if r.class_shares]
+    shares = F.create_map(*(x for r in first for x in (F.lit(r.lang), F.array(*map(F.lit, r.class_shares))))) if first else F.create_map().cast("map<string,array<double>>")
+    near = F.coalesce(_class_distance(F.col("classes"), F.try_element_at(shares, F.col("lang"))) <= config.trim, F.lit(False))
+    known = known.withColumn("_near", ~_base_failed(config) & near)
+    by_class = _class_shares(known, F.col("_near"))
     lists = F.create_map(*(x for lang, ws in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, ws)))))
-    counted = known.select("lang", F.explode("common").alias("c")).select("lang", "c.word", "c.n").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = counted.filter(F.array_contains(lists[F.col("lang")], F.col("word")))
-    by_word = counted.groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("word", "n")).alias("l"))
-    by_word = by_word.select("lang", F.map_from_entries(F.transform("l", lambda x: F.struct(x["word"], x["n"] / F.col("all")))).alias("word_shares"))
+    sums = (F.sum(F.when(F.col("_near"), F.col("n"))).alias("core"), F.sum("n").alias("all"))
+    tokens = known.select("lang", "_near", F.col("n_tokens").alias("n")).groupBy("lang").agg(F.max("_near").alias("_some"), *sums).select("lang", "_some", F.when(F.col("_some"), F.col("core")).otherwise(F.col("all")).alias("_tokens"))
+    counted = known.select("lang", "_near", F.explode("common").alias("c")).select("lang", "_near", "c.word", "c.n").groupBy("lang", "word").agg(*sums)
+    counted = counted.filter(F.array_contains(lists[F.col("lang")], F.col("word"))).join(tokens, "lang")
+    counted = counted.select("lang", "word", (F.when(F.col("_some"), F.col("core")).otherwise(F.col("all")) / F.col("_tokens")).alias("share")).filter("share > 0")
+    by_word = counted.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "share"))).alias("word_shares"))
     return by_class.join(by_word, "lang", "left")
 
 
@@ -135,16 +170,16 @@ def _class_distance(counts: Column, shares: Column) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(parts / 2, F.lit(0.0))))
 
 
-def _word_distance(common: Column, shares: Column) -> tuple[Column, Column]:
-    """Words of the reference's list in the document, and the distance. Bins that the document lacks add their whole share."""
+def _word_distance(common: Column, tokens: Column, shares: Column, listed: Column) -> Column:
+    """The distance over the listed words and one bin for all others. Bins that the document lacks add their whole share."""
     own = F.filter(common, lambda x: F.map_contains_key(shares, x["word"]))
-    total = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
     def parts(o: Column, t: Column) -> Column:
-        seen = F.aggregate(o, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["d"] + _part(x["n"] / t, shares[x["word"]])).alias("d"), (a["q"] + shares[x["word"]]).alias("q")))
-        return let(seen, lambda s: F.sqrt(F.greatest((s["d"] + 1 - s["q"]) / 2, F.lit(0.0))))
+        start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"), F.lit(0).cast("long").alias("n"))
+        seen = F.aggregate(o, start, lambda a, x: F.struct((a["d"] + _part(x["n"] / t, shares[x["word"]])).alias("d"), (a["q"] + shares[x["word"]]).alias("q"), (a["n"] + x["n"]).alias("n")))
+        return let(seen, lambda s: F.sqrt(F.greatest((s["d"] + listed - s["q"] + _part((t - s["n"]) / t, 1 - listed)) / 2, F.lit(0.0))))
 
-    return total, F.when(total > 0, let(own, lambda o: let(total, lambda t: parts(o, t))))
+    return F.when(tokens > 0, let(own, lambda o: parts(o, tokens)))
 
 
 def _shares(of: dict[str, float]) -> Column:
@@ -158,24 +193,22 @@ def quality_verdicts(docs: DataFrame, config: QualityConfig = QualityConfig(), k
     that a filter on the verdict needs no join with the documents.
     """
     stats = shared_table(document_stats(docs, keep))
-    known = references(stats).collect()  # a row per word list at most, whatever the corpus
-    refs = F.array(*(F.struct(F.lit(r.lang).alias("lang"), F.array(*map(F.lit, r.class_shares or [])).cast("array<double>").alias("class_shares"), _shares(r.word_shares or {}).alias("word_shares")) for r in known if r.class_shares))
-    empty = "array<struct<lang:string,class_shares:array<double>,word_shares:map<string,double>>>"
+    known = [r for r in references(stats, config).collect() if r.class_shares]  # a row per word list at most, whatever the corpus
+    refs = F.array(*(F.struct(F.lit(r.lang).alias("lang"), F.array(*map(F.lit, r.class_shares)).cast("array<double>").alias("class_shares"), _shares(r.word_shares or {}).alias("word_shares"), F.lit(float(sum((r.word_shares or {}).values()))).alias("listed")) for r in known))
+    empty = "array<struct<lang:string,class_shares:array<double>,word_shares:map<string,double>,listed:double>>"
     rows = stats.withColumn("refs", refs if known else F.array().cast(empty))
 
     def held(r: Column) -> Column:
-        n, d = _word_distance(F.col("common"), r["word_shares"])
-        return F.struct(
-            F.coalesce(_class_distance(F.col("classes"), r["class_shares"]), F.lit(0.0)).alias("class_distance"), F.coalesce(d, F.lit(0.0)).alias("word_distance"), F.coalesce(n, F.lit(0)).cast("long").alias("n_common"), r["lang"].alias("language")
-        )
+        d = _word_distance(F.col("common"), F.col("n_tokens"), r["word_shares"], r["listed"])
+        return F.struct(F.coalesce(_class_distance(F.col("classes"), r["class_shares"]), F.lit(0.0)).alias("class_distance"), F.coalesce(d, F.lit(0.0)).alias("word_distance"), r["lang"].alias("language"))
 
     own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
     rows = rows.withColumn("_own", own)
     rows = rows.withColumn("_d", F.array_min(F.transform(F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("refs")), held)))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    base_failed = (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_percent * F.col("n_words"))
-    far = ((chars >= config.min_chars) & (F.col("_d.class_distance") > config.max_class_distance)) | ((F.col("_d.n_common") >= config.min_common) & (F.col("_d.word_distance") > config.max_word_distance))
+    far = (chars >= config.min_chars) & (F.col("_d.class_distance") > config.max_class_distance + config.class_slack / F.sqrt(chars))
+    far = far | ((F.col("n_tokens") >= config.min_tokens) & (F.col("_d.word_distance") > config.max_word_distance + config.word_slack / F.sqrt("n_tokens")))
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~F.coalesce(far, F.lit(False))).alias("kept"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed(config).alias("base_failed"), (~_base_failed(config) & ~F.coalesce(far, F.lit(False))).alias("kept"),
         F.round("_d.class_distance", 6).alias("class_distance"), F.round("_d.word_distance", 6).alias("word_distance"), F.col("_d.language").alias("language"), *(["_keep"] if keep else []),
     )
