@@ -80,7 +80,10 @@ def quality_sql() -> str:
    len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
    coalesce(x.n, 0) AS n_repeat_words, {counts} FROM d LEFT JOIN x USING (doc_id)),
  s AS (SELECT *, {total} AS chars, n_words < {c.min_words} OR 100 * n_repeat_words > {c.max_repeat_percent} * n_words AS base_failed FROM b),
- r1 AS (SELECT lang, {", ".join(f"sum({k}) / sum(chars) AS {k}" for k in CLASSES)} FROM s WHERE lang IN (SELECT lang FROM v) GROUP BY 1),
+ a1 AS (SELECT lang, c, floor(1000 * n / chars) AS b, count(*) AS n FROM (SELECT lang, chars, unnest([{", ".join(f"'{k}'" for k in CLASSES)}]) AS c, unnest([{", ".join(CLASSES)}]) AS n FROM s WHERE chars >= {c.min_chars} AND lang IN (SELECT lang FROM v)) GROUP BY 1, 2, 3),
+ a2 AS (SELECT lang, c, b, sum(n) OVER (PARTITION BY lang, c ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, c) AS n FROM a1),
+ a3 AS (SELECT lang, c, (min(b) + 0.5) / 1000 AS m FROM a2 WHERE 2 * upto >= n GROUP BY 1, 2),
+ r1 AS (SELECT lang, {", ".join(f"max(m) FILTER (c = '{k}') / sum(m) AS {k}" for k in CLASSES)} FROM a3 GROUP BY 1),
  i AS (SELECT s.doc_id, s.lang FROM s JOIN r1 r USING (lang) WHERE NOT base_failed AND chars > 0 AND sqrt(greatest(({distance}) / 2, 0)) <= {c.trim}),
  o AS (SELECT doc_id, lang FROM i UNION ALL SELECT doc_id, lang FROM s WHERE lang IN (SELECT lang FROM v) AND lang NOT IN (SELECT lang FROM i)),
  r AS (SELECT s.lang, {", ".join(f"sum({k}) / sum(chars) AS {k}" for k in CLASSES)} FROM s JOIN o USING (doc_id) GROUP BY 1),

@@ -2,7 +2,8 @@
 
 Each document gets two histograms: characters by class, and words by the common words of the languages that have a word
 list, with one bin for all other words. References are the same histograms summed over the documents of a language in
-two rounds: first over all, then over those that pass the base rules and whose characters lie within ``trim`` of the
+two rounds: first the median share of each class over documents, by a histogram in thousandths, which junk in less than
+half of them moves little; then sums over those that pass the base rules and whose characters lie within ``trim`` of the
 first round's, so that junk does not shape what it is held against (a language without such documents keeps all). A
 document is rejected when the Jensen-Shannon distance to its language's reference is too large, for either histogram.
 Short texts stray from any reference by chance, about with one over the root of their length; so the bound falls with
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, let, shared_table
@@ -48,7 +49,7 @@ class QualityConfig:
     max_word_distance: float = 0.18
     word_slack: float = 1.7
     #: Documents up to this class distance from the first round's reference make the second round's.
-    trim: float = 0.25
+    trim: float = 0.15
 
 
 def _repeat_words(w: Column) -> Column:
@@ -136,13 +137,28 @@ def _class_shares(known: DataFrame, core: Column) -> DataFrame:
     return sums.select("lang", F.when(total > 0, F.array(*(F.col(c) / total for c in CLASSES))).alias("class_shares"))
 
 
+def _median_shares(known: DataFrame, config: QualityConfig) -> DataFrame:
+    """Per language the median share of each class over documents of ``min_chars``, in thousandths, summing to one.
+
+    A histogram of at most a thousand and one buckets for each language and class, summed on the map side.
+    """
+    total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    long_enough = known.withColumn("_all", total).filter(F.col("_all") >= config.min_chars)
+    counted = long_enough.select("lang", F.posexplode(F.transform("classes", lambda n: F.floor(1000 * n / F.col("_all")))).alias("c", "b")).groupBy("lang", "c", "b").agg(F.count("*").alias("n"))
+    one = Window.partitionBy("lang", "c")
+    counted = counted.withColumns({"_upto": F.sum("n").over(one.orderBy("b")), "_of": F.sum("n").over(one)})
+    middle = counted.filter(2 * F.col("_upto") >= F.col("_of")).groupBy("lang", "c").agg(F.min("b").alias("b"))
+    shares = middle.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "b"))), lambda x: (x["b"] + 0.5) / 1000).alias("s"))
+    return shares.select("lang", F.transform("s", lambda x: x / F.aggregate("s", F.lit(0.0), lambda a, y: a + y)).alias("class_shares"))
+
+
 def references(stats: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per language that has a word list: class shares, and the shares of its common words as a map.
 
     The result has at most as many rows as there are word lists, as has the first round's, which comes to the driver.
     """
     known = stats.filter(F.col("lang").isin(list(COMMON_WORDS)))
-    first = [r for r in _class_shares(known, F.lit(True)).collect() if r.class_shares]
+    first = _median_shares(known, config).collect()
     shares = F.create_map(*(x for r in first for x in (F.lit(r.lang), F.array(*map(F.lit, r.class_shares))))) if first else F.create_map().cast("map<string,array<double>>")
     near = F.coalesce(_class_distance(F.col("classes"), F.try_element_at(shares, F.col("lang"))) <= config.trim, F.lit(False))
     known = known.withColumn("_near", ~_base_failed(config) & near)
