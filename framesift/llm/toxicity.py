@@ -14,8 +14,13 @@ Labels are learned only from rows whose crc32 of the id, as text, is not 2 modul
 no inputs of a score. At most ``max_labelled`` training rows are used (the first by hash of the id: a documented bound
 for fitting only); every text of the table is scored whole.
 
-Cases: null text counts as empty; empty texts get a score as any other; without labels of both kinds the score is 0 for
-texts without seed terms (see ``SEEDS``) and rises with them; repeated rows score alike; extra columns are not used.
+Bounds, all of fitting only: ``max_labelled`` rows, of which an id gives one text; ``max_terms`` learned terms, chosen from
+the 20 times as many that separate best, of ``shortest`` to ``longest`` characters where they are beginnings.
+
+Cases: null text counts as empty; empty texts get a score as any other; texts of any length are read whole, in one pass
+over their words; without labels of both kinds the score is 0 for texts without seed terms (see ``SEEDS``) and rises with
+them; repeated rows score alike; an empty table gives an empty result; an id with several labels counts as toxic if one
+says so; extra columns, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -268,7 +273,7 @@ def features(text: str | None, lexicon: Lexicon, config: ToxicityConfig) -> np.n
         around = [w if w[0].isalnum() and w[-1].isalnum() else _EDGE.sub("", w) for w in words[max(0, i - config.window) : i] + words[i + 1 : i + 1 + config.window]]
         in_quotes = _quoted(words, i, config.window)
         told = not REPORTING.isdisjoint(around)
-        share = (0.3 if in_quotes else 1.0) * (0.6 if told and in_quotes else 1.0)
+        share = (0.3 if in_quotes else 1.0) * (0.6 if told else 1.0)
         if in_quotes:
             quoted += 1
         if not ADDRESS.isdisjoint(around):
@@ -317,8 +322,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) ->
     n = usable.count()
     share = min(1.0, config.max_labelled / max(n, 1))
     usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # about max_labelled rows of two numbers, whatever the table: no text is shuffled for the sample
-    return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", "toxic")
+    # about max_labelled rows of two numbers, whatever the table; an id gives one text (the first by hash), however many
+    # rows it has, so what is learned from is bounded too
+    found = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "toxic")
 
 
 @dataclass
