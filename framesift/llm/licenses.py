@@ -1,21 +1,26 @@
 """License scans: an exact set-similarity join of text blocks with license templates, as DataFrame expressions only.
 
-Blocks are the lines of a text, as sets of words, and, for notices wrapped over lines, all windows of 1 / ``threshold``
-times as many consecutive words as the template has; templates are sets of words too. A block matches a template when it
-holds at least ``threshold`` of the template's words. Words of the templates are ordered by how many documents hold them
-(counted over all documents), rarest first. Filters, in order: prefix (a block that can match holds one of the first
-|T| - need + 1 words of the template), length (at least ``need`` template words in the block), position (the shared word
-found first leaves enough words behind it on both sides); what survives is verified by intersection, so nothing that
-meets the threshold is missed. Windows are taken around words of the template's prefix only, one of which each window
-that can match holds. The template side is a literal table whose size is that of the list given, so the join
-runs inside the scan of the documents, without a shuffle.
+Blocks are all windows of consecutive words, over line ends too, that are 1 / ``threshold`` times as long as the template;
+templates and blocks are sets of words. A block matches a template when it holds at least ``threshold`` of the template's
+words. The bound on a block's length keeps words that stand far apart from making a notice by chance.
+
+Words of the templates are ordered by how many documents hold them (counted over all documents), rarest first. A block
+that can match holds a word of the template's prefix, its first |T| - need + 1 words in that order. So each text is cut
+into stretches around words of any prefix (what no window with such a word reaches is left out), and stretches are joined
+with the templates on these words: one equi-join with the inverted prefixes, whose size is that of the template list, so
+it is broadcast, whatever the number of templates. Filters on joined rows, in order: position (the joined word is the
+template's first in the stretch, so a pair comes once, and leaves enough words behind it), length (enough words, and
+enough template words, in the stretch). What survives is verified window by window; nothing that meets the threshold is
+missed. Texts are not shuffled: stretches and counts are written once, and only rows with stretches take part in the join.
 
 Beside the join, the places of four fixed phrases are reported. Cases: null text counts as empty (no words, no labels,
-score 0); a text of one huge line is one block; repeated rows come back alike.
+score 0); an empty table gives an empty result; texts and lines of any length cost about their words times the longest
+template; repeated rows come back alike; extra columns, whatever their names, are not used.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, shared_table
 
 #: Phrases and their labels.
 PHRASES = {
@@ -61,17 +66,38 @@ class LicenseConfig:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{BETWEEN}]+", -1), lambda x: x != "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), f"[{BETWEEN}]+", -1), "")
 
 
 def word_ranks(docs: DataFrame, config: LicenseConfig = LicenseConfig()) -> dict[str, int]:
     """Rank of every template word, rarest first, by the number of documents that hold it; ties by the word."""
     vocabulary = sorted({w for _, t in config.templates for w in t.split()})
-    held = docs.select(F.array_distinct(F.filter(F.split(F.lower("text"), f"[{BETWEEN}]+", -1), lambda x: x.isin(vocabulary))).alias("w"))
+    held = docs.select(F.array_intersect(F.array(*map(F.lit, vocabulary)), _words(F.col("text"))).alias("w"))
     counts = {r.w: r.n for r in held.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per template word at most
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
+@dataclass(frozen=True)
+class Template:
+    label: str
+    tokens: list[str]
+    need: int
+    size: int
+
+    @property
+    def prefix(self) -> list[str]:
+        return self.tokens[: len(self.tokens) - self.need + 1]
+
+
+def ordered_templates(ranks: dict[str, int], config: LicenseConfig = LicenseConfig()) -> list[Template]:
+    """Templates with their words rarest first, how many of them a block needs, and how many words a block has."""
+    out = []
+    for label, text in config.templates:
+        t = sorted(set(text.split()), key=ranks.get)
+        out.append(Template(label, t, math.ceil(config.threshold * len(t) - 1e-9), math.ceil(len(text.split()) / config.threshold - 1e-9)))
+    return out
+
+
 def _phrase_pattern(phrase: str) -> str:
     return rf"(?i)(?<![^{BETWEEN}])" + rf"[{BETWEEN}]+".join(map(re.escape, phrase.split())) + rf"(?![^{BETWEEN}])"
 
@@ -89,80 +115,75 @@ def _phrase_places(w: Column, phrase: str) -> Column:
     return F.filter(F.transform(w, lambda x, i: F.when(stands(x, i), i)), lambda i: i.isNotNull())
 
 
-def _block_matches(line: Column, ranks: dict[str, int], config: LicenseConfig) -> Column:
-    """(label, share of the template's words) of every template that the block holds well enough."""
-    table = F.create_map(*(F.lit(x) for w, r in ranks.items() for x in (w, r)))
-    block = F.array_sort(F.array_distinct(F.filter(F.transform(_words(F.translate(line, UPPER, LOWER)), lambda x: F.try_element_at(table, x)), lambda r: r.isNotNull())))
+def _stretches(w: Column, prefixes: list[str], reach: int) -> Column:
+    """(at, words) of the stretches that windows of up to ``reach`` words with a word of a prefix cover; they don't overlap."""
+    anchors = F.filter(F.transform(w, lambda x, i: F.when(x.isin(prefixes), i)), lambda i: i.isNotNull())
 
-    def against(b: Column) -> Column:
-        found = []
-        for label, text in config.templates:
-            t = sorted({ranks[w] for w in text.split()})
-            need = math.ceil(config.threshold * len(t) - 1e-9)
-            tokens, prefix = F.array(*map(F.lit, t)), F.array(*map(F.lit, t[: len(t) - need + 1]))
-            shared = F.array_intersect(prefix, b)
-            in_place = let(F.get(shared, F.lit(0)), lambda s: (F.size(b) - F.array_position(b, s) + 1 >= need) & (len(t) - F.array_position(tokens, s) + 1 >= need))
-            overlap = F.size(F.array_intersect(tokens, b))
-            share = F.when((F.size(b) >= need) & F.arrays_overlap(prefix, b) & in_place, overlap / F.lit(len(t)))
-            found.append(F.struct(F.lit(label).alias("label"), F.when(overlap >= need, share).alias("share")))
-        return F.filter(F.array(*found), lambda x: x["share"].isNotNull())
+    def cut(a: Column) -> Column:
+        first = F.filter(F.transform(a, lambda i, k: F.when((k == 0) | (i - F.get(a, k - 1) >= 2 * reach), k)), lambda k: k.isNotNull())
 
-    return let(block, against)
+        def one(f: Column, k: Column, j: Column) -> Column:
+            low = F.greatest(F.get(a, k) - (reach - 1), F.lit(0))
+            last = F.get(a, F.coalesce(F.get(f, j + 1), F.size(a)) - 1)
+            return F.struct(low.cast("long").alias("at"), F.slice(w, low + 1, last - low + reach).alias("words"))
 
+        return let(first, lambda f: F.transform(f, lambda k, j: one(f, k, j)))
 
-def _wrapped_matches(w: Column, ranks: dict[str, int], config: LicenseConfig) -> Column:
-    """(label, share) of every template that some window of the text's words holds well enough; the best window's share."""
-    split = []
-    for label, text in config.templates:
-        t = sorted(set(text.split()), key=ranks.get)
-        need = math.ceil(config.threshold * len(t) - 1e-9)
-        split.append((label, t, need, t[: len(t) - need + 1], math.ceil(len(text.split()) / config.threshold - 1e-9)))
-    anchors = F.filter(F.transform(w, lambda x, i: F.when(x.isin(sorted({p for s in split for p in s[3]})), i)), lambda i: i.isNotNull())
+    return let(anchors, cut)
+
+
+STRETCHES = "array<struct<at:bigint,words:array<string>>>"
 
-    def best(a: Column, t: list[str], need: int, prefix: list[str], size: int) -> Column:
-        tokens = F.array(*map(F.lit, t))
-        held = lambda at, n: F.size(F.array_intersect(tokens, F.slice(w, at + 1, F.lit(n))))
-        start = lambda i: F.greatest(i - (size - 1), F.lit(0))
-        near = F.filter(a, lambda i: F.get(w, i).isin(prefix) & (held(start(i), 2 * size - 1) >= need))
-        return F.array_max(F.flatten(F.transform(near, lambda i: F.transform(F.sequence(start(i), i), lambda at: held(at, size)))))
 
-    def against(a: Column) -> Column:
-        found = [F.struct(F.lit(label).alias("label"), let(best(a, t, need, prefix, size), lambda n: F.when(n >= need, n / F.lit(len(t)))).alias("share")) for label, t, need, prefix, size in split]  # noqa: B023
-        return F.filter(F.array(*found), lambda x: x["share"].isNotNull())
+def _template_table(docs: DataFrame, templates: list[Template]) -> DataFrame:
+    """The inverted prefixes: a row (word, place, label, tokens, need, size) for each word of each template's prefix."""
+    rows = [{"label": t.label, "tokens": t.tokens, "prefix": t.prefix, "need": t.need, "size": t.size} for t in templates]
+    schema = "array<struct<label:string,tokens:array<string>,prefix:array<string>,need:int,size:int>>"
+    table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+    return table.select("label", "tokens", "need", "size", F.posexplode("prefix").alias("place", "word"))
 
-    return let(anchors, against)
+
+def matches(stretches: DataFrame, templates: list[Template]) -> DataFrame:
+    """(_row, at, label, share) from (_row, at, words): for each stretch and template its best window, where that matches."""
+    words = sorted({x for t in templates for x in t.prefix})
+    keyed = stretches.select("_row", "at", "words", F.explode(F.array_intersect(F.array(*map(F.lit, words)), F.col("words"))).alias("word"))
+    pairs = keyed.join(F.broadcast(_template_table(stretches, templates)), "word")
+    # position: no earlier word of the template in the stretch, and enough words from this one on
+    pairs = pairs.filter((F.size("tokens") - F.col("place") >= F.col("need")) & ~F.arrays_overlap(F.slice("tokens", F.lit(1), F.col("place")), F.col("words")))
+    # length
+    pairs = pairs.filter((F.size("words") >= F.col("need")) & (F.size(F.array_intersect("tokens", "words")) >= F.col("need")))
+    hits = F.filter(F.transform("words", lambda x, i: F.when(F.array_contains(F.col("tokens"), x), i)), lambda i: i.isNotNull())
+    held = F.array_max(F.transform(hits, lambda i: F.struct(F.size(F.array_intersect(F.col("tokens"), F.slice(F.col("words"), i + 1, F.col("size")))).alias("n"), (-i).alias("i"))))
+    found = pairs.withColumn("_best", held).filter(F.col("_best.n") >= F.col("need"))
+    return found.select("_row", (F.col("at") - F.col("_best.i")).alias("at"), "label", (F.col("_best.n") / F.size("tokens")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig()) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``blocks``: (line, label, share).
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and ``blocks``: (at, label, share).
 
-    The line of a block is null where the words stand on several lines, and no line holds them as well.
+    A block's ``at`` is the place of its first word in the text.
     """
-    ranks = word_ranks(docs, config)
-    # every template has a word of its prefix in a block that matches; none of these words in the text: no block matches
-    prefixes = sorted({w for _, t in config.templates for w in sorted(set(t.split()), key=ranks.get)[: len(set(t.split())) - math.ceil(config.threshold * len(set(t.split())) - 1e-9) + 1]})
-    may_match = F.col("_t").rlike(rf"(?i)(?<![^{BETWEEN}])(?:{'|'.join(map(re.escape, prefixes))})(?![^{BETWEEN}])")
-    may_name = F.col("_t").rlike("|".join(f"(?:{_phrase_pattern(p)})" for p in PHRASES))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    templates = ordered_templates(word_ranks(docs, config), config)
+    prefixes, reach = sorted({x for t in templates for x in t.prefix}), max((t.size for t in templates), default=1)
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
+    # a cheap test for one word of each phrase comes before the pattern of the phrase
+    may_name = lambda t: F.lit(False) if not PHRASES else _any(t.contains(max(p.split(), key=len)) & t.rlike(_phrase_pattern(p)) for p in PHRASES)
     no_places = F.array().cast("array<struct<at:int,label:string>>")
 
     def places(w: Column) -> Column:
         return F.array_sort(F.concat(*(_labelled(_phrase_places(w, p), PHRASES[p]) for p in PHRASES)))
 
-    blocks = F.flatten(F.transform(F.split("_t", "\n", -1), lambda line, n: F.transform(_block_matches(line, ranks, config), lambda m: F.struct(n.cast("long").alias("line"), m["label"].alias("label"), m["share"].alias("share")))))
-    wrapped = let(_words(F.translate("_t", UPPER, LOWER)), lambda w: _wrapped_matches(w, ranks, config))
-    wrapped = F.when(F.col("_t").contains("\n"), wrapped).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
-
-    def both(of_lines: Column) -> Column:
-        more = F.filter(wrapped, lambda m: ~F.exists(of_lines, lambda x: (x["label"] == m["label"]) & (x["share"] >= m["share"])))
-        return F.concat(of_lines, F.transform(more, lambda m: F.struct(F.lit(None).cast("long").alias("line"), m["label"].alias("label"), m["share"].alias("share"))))
-
-    blocks = let(blocks, both)
-    rows = rows.select(
-        "doc_id", F.size(_words(F.col("_t"))).cast("long").alias("n_words"),
-        F.when(may_name, let(_words(F.translate("_t", UPPER, LOWER)), places)).otherwise(no_places).alias("_places"),
-        F.when(may_match, blocks).otherwise(F.array().cast("array<struct<line:bigint,label:string,share:double>>")).alias("blocks"),
-    )
+    def read(w: Column) -> Column:
+        near = F.when(F.arrays_overlap(w, F.array(*map(F.lit, prefixes))), _stretches(w, prefixes, reach)) if prefixes else F.lit(None)
+        return F.struct(F.size(w).cast("long").alias("n"), near.cast(STRETCHES).alias("near"), F.when(F.col("_named"), places(w)).otherwise(no_places).alias("places"))
+
+    rows = docs.select("doc_id", "text", may_name(lower).alias("_named")).select("doc_id", let(_words(F.col("text")), read).alias("_r"))
+    rows = shared_table(rows.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.col("_r.n").alias("n_words"), F.col("_r.places").alias("_places"), F.col("_r.near").alias("_near")))
+    stretches = rows.filter("_near is not null").select("_row", F.explode("_near").alias("s")).select("_row", "s.at", "s.words")
+    blocks = matches(stretches, templates).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "label", "share"))).alias("blocks"))
+    none = F.array().cast("array<struct<at:bigint,label:string,share:double>>")
+    near = rows.filter("_near is not null").drop("_near").join(blocks, "_row", "left").withColumn("blocks", F.coalesce("blocks", none))
+    rows = rows.filter("_near is null").drop("_near").withColumn("blocks", none).unionByName(near)
     base = F.array_sort(F.array_distinct(F.transform("_places", lambda p: p["label"])))
     labels = F.array_sort(F.array_distinct(F.concat(base, F.transform("blocks", lambda m: m["label"]))))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda m: m["share"])), F.lit(0.0))
@@ -172,5 +193,12 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig()) -> D
     )
 
 
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))

@@ -49,12 +49,18 @@ def licenses_sql() -> str:
         parts = phrase.split()
         test = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
         places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {test}), lambda i: {{'at': i - 1, 'label': '{label}'}})")
-    templates = ", ".join(f"({i}, '{label}', {_list(sorted(set(t.split())))}, {math.ceil(config.threshold * len(set(t.split())) - 1e-9)})" for i, (label, t) in enumerate(TEMPLATES))
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
+    size = lambda t: math.ceil(len(t.split()) / config.threshold - 1e-9)
+    templates = ", ".join(f"({i}, '{label}', {_list(sorted(set(t.split())))}, {math.ceil(config.threshold * len(set(t.split())) - 1e-9)}, {size(t)})" for i, (label, t) in enumerate(TEMPLATES))
+    return f"""WITH d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
  p AS (SELECT doc_id, len(w) AS n_words, {" || ".join(places)} AS places FROM d),
- t(id, label, tokens, need) AS (VALUES {templates}),
- b AS (SELECT doc_id, list_distinct({words.format("line")}) AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
- h AS (SELECT doc_id, label, len(list_intersect(words, tokens)) / len(tokens) AS share FROM b JOIN t ON list_has_any(words, tokens) AND len(list_intersect(words, tokens)) >= need),
+ t(id, label, tokens, need, size) AS (VALUES {templates}),
+ u AS (SELECT id, unnest(tokens) AS word FROM t),
+ a AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+ m AS (SELECT doc_id, id, i, word FROM a JOIN u USING (word)),
+ e AS (SELECT doc_id, id FROM m JOIN t USING (id) GROUP BY doc_id, id HAVING count(DISTINCT word) >= any_value(need)),
+ c AS (SELECT m.doc_id, m.id, m.i, m.word FROM m JOIN e ON e.doc_id = m.doc_id AND e.id = m.id),
+ b AS (SELECT x.doc_id, x.id, x.i, count(DISTINCT y.word) AS n FROM c x JOIN t ON t.id = x.id JOIN c y ON y.doc_id = x.doc_id AND y.id = x.id AND y.i BETWEEN x.i AND x.i + t.size - 1 GROUP BY 1, 2, 3),
+ h AS (SELECT doc_id, label, n / len(tokens) AS share FROM b JOIN t USING (id) WHERE n >= need),
  g AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS best FROM h GROUP BY 1)
  SELECT doc_id, n_words, len(places) AS n_base, list_min(list_transform(places, lambda x: x.at)) AS first_word, list_max(list_transform(places, lambda x: x.at)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label))), ',') AS base_labels,

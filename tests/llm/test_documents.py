@@ -122,13 +122,13 @@ def license_base(text):
 
 
 def license_blocks(text, config):
+    """Every window of 1 / threshold times as many words as the template, by trying all."""
     out = set()
-    for line in (text or "").split("\n"):
-        w = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.translate(str.maketrans(licenses.UPPER, licenses.LOWER))))
-        for label, t in config.templates:
-            words = set(t.split())
-            if len(words & w) >= config.threshold * len(words) - 1e-9:
-                out.add(label)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+    for label, t in config.templates:
+        tokens, size = set(t.split()), -(-len(t.split()) * 100 // round(100 * config.threshold))
+        if any(len(tokens.intersection(words[i : i + size])) >= config.threshold * len(tokens) - 1e-9 for i in range(len(words)) if words[i] in tokens):
+            out.add(label)
     return out
 
 

@@ -29,7 +29,16 @@ def test_only_needed_columns_are_read(spark, sf):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan(queries.op10_url_filters(spark, sf))
 
 
-def test_license_scan_shuffles_nothing(spark, sf):
+def test_no_texts_are_shuffled(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert "Exchange" not in plan(licenses.scan_licenses(docs))
+    text = plan(licenses.scan_licenses(docs))
+    assert "words" not in "".join(x for x in text.split("\n") if "Exchange" in x and "Broadcast" not in x) and "text" not in text
     assert "Exchange" not in plan(quality.quality_verdicts(docs))
+
+
+def test_any_number_of_templates_is_one_join(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    templates = [licenses.Template(f"l{i}", [f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}"], 4, 7) for i in range(500)]
+    rows = docs.selectExpr("doc_id _row", "0L at", "split(text, ' ') words")
+    text = plan(licenses.matches(rows, templates))
+    assert len(re.findall("Join", text)) <= 2 and not re.search("NestedLoop|Cartesian|Python", text)
