@@ -2,8 +2,10 @@
 
 The model's protobuf is parsed here, field by field, and rebuilt: the normaliser (precompiled map, dummy prefix, white
 space rules), the metaspace marker, unigram scores or, for a BPE model, merges in the order of the scores, and byte
-fallback. Batches are encoded by the library's threads. Rebuilt and original are compared on texts of the table
-(``parity``), and every text is decoded again to see whether it round-trips.
+fallback. Batches are encoded by the library's threads. Where no piece holds a marker after another character, no piece
+crosses the front of a run of markers; texts are then cut there, and the library encodes each stretch it has not met, so
+a word costs once for many texts. Rebuilt and original are compared on texts of the table (``parity``), and every text is
+decoded again to see whether it round-trips.
 
 The model is a few hundred kilobytes, is read by the driver from a path that is a parameter, and travels with the
 function. Cases: a null text has no ids and no flags; an empty text has an empty list and round-trips; whole texts are
@@ -13,7 +15,9 @@ encoded, however long; repeated rows come back alike; extra columns are not used
 from __future__ import annotations
 
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -201,6 +205,51 @@ class Decoder:
         return (text[1:] if self.strip and text.startswith(" ") else text), n
 
 
+class Encoder:
+    """Ids of texts by the rebuilt tokenizer, through a table of the stretches between fronts of runs of markers.
+
+    The table holds at most ``limit`` stretches of at most ``longest`` characters, and starts anew beyond that. A model
+    whose pieces cross those fronts is applied to whole texts.
+    """
+
+    def __init__(self, m: Model, limit: int = 400_000, longest: int = 64):
+        from tokenizers import Tokenizer
+
+        self.m, self.whole, self.limit, self.longest = m, build_tokenizer(m), limit, longest
+        self.cut = self.whole.pre_tokenizer is not None
+        self.parts = Tokenizer(self.whole.model)
+        self.known: dict[str, bytes] = {}
+
+    def stretches(self, text: str) -> list[str]:
+        """The normalised text cut before each run of markers."""
+        if self.m.charsmap or self.m.remove_extra or not self.m.dummy_prefix:
+            text = self.whole.normalizer.normalize_str(text)
+            return [x for x in _FRONTS.findall(text)]
+        words = text.replace(" ", MARK).split(MARK)
+        if "" in words:
+            return _FRONTS.findall(MARK + MARK.join(words))
+        return [MARK + w for w in words]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit integers in a row: bytes, so that a large table costs no garbage collection."""
+        packed = lambda e: array("i", e.ids).tobytes()
+        if not self.cut:
+            return [packed(e) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [self.stretches(x) if x else [] for x in texts]
+        known = self.known
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        known.update(zip(new, map(packed, self.parts.encode_batch_fast(new, add_special_tokens=False))))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        if len(known) > self.limit:
+            known.clear()
+        else:
+            for c in new:
+                if len(c) > self.longest:
+                    del known[c]
+        return out
+
+
+_FRONTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _cache: dict[int, tuple] = {}
 
 
@@ -208,7 +257,7 @@ def _ready(data: bytes) -> tuple:
     key = hash(data)
     if key not in _cache:
         m = parse_model(data)
-        _cache[key] = (m, build_tokenizer(m), Decoder(m))
+        _cache[key] = (m, Encoder(m), Decoder(m))
     return _cache[key]
 
 
@@ -228,7 +277,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, parity_every: int = 64
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
-        m, t, decoder = _ready(data)
+        m, encoder, decoder = _ready(data)
         original = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -239,11 +288,12 @@ def encode_documents(docs: DataFrame, model_path: str, *, parity_every: int = 64
                     size += len(texts[end] or "")
                     end += 1
                 part, keys = texts[at:end], ids[at:end]
-                found = [e.ids if x else [] for x, e in zip(part, t.encode_batch_fast([x or "" for x in part], add_special_tokens=False))]
+                packed = [f if x else b"" for x, f in zip(part, encoder([x or "" for x in part]))]
+                flat = np.frombuffer(b"".join(packed), np.int32)
+                found = [np.frombuffer(f, np.int32).tolist() for f in packed]
                 back = [decoder(f) for f in found]
                 null = np.array([x is None for x in part])
                 counts = np.array([len(f) for f in found], np.int64)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 wanted = [None if x is None else normal_text(m, x) if not m.charsmap else original.normalize(x).replace(MARK, " ").removeprefix(" ") for x in part]
                 yield pa.RecordBatch.from_arrays(
