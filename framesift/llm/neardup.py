@@ -17,8 +17,13 @@
 Full sets are made again from the texts of those ids alone that take part in a test; ids are sought by a bitmap of
 fixed size, so other texts are not shuffled.
 
+A key that very many classes share is combined on the map side, a batch at a time, so its task reads a row a batch; a hot
+centre's partners are dealt to tasks by ``star``, a hot key's members by ``block``.
+
 Cases: null or wordless text has an empty set, is linked with nothing and is kept; a null id is linked with nothing;
-repeated rows have the same set and come back alike; extra columns are not used.
+repeated rows have the same set and come back alike; rows with one id and different texts are nodes of their own, each
+with the smallest id it reaches; an empty table gives an empty result; texts of any length are read whole, one at a time
+where long; extra columns, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ class NearDupConfig:
     #: Bits of the bitmap by which texts are looked up; a fixed size (2 ** 26 bits are 8 MB).
     bitmap: int = 1 << 26
     #: Members of a star that one task holds against its centre.
-    star: int = 2000
+    star: int = 256
 
     @property
     def distance(self) -> int:
@@ -59,7 +64,7 @@ class NearDupConfig:
 
 
 def signed(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """doc_id, n_shingles, set_id (128 bits of the set), sig (the symbols as bytes), sketch."""
+    """doc_id, text_hash, n_shingles, set_id (128 bits of the set), sig (the symbols as bytes), sketch."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -71,9 +76,9 @@ def signed(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFram
                 sigs = shingles.signatures(sets, config.symbols, config.bits)
                 ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sketch = [s.tobytes() for s in shingles.sketches(sets, config.bins)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_shingles": [len(s) for s in sets], "set_id": ids, "sig": [s.tobytes() for s in sigs], "sketch": sketch})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "text_hash": part["text_hash"].values, "n_shingles": [len(s) for s in sets], "set_id": ids, "sig": [s.tobytes() for s in sigs], "sketch": sketch})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, set_id binary, sig binary, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, set_id binary, sig binary, sketch binary")
 
 
 def chunk_keys(sigs: np.ndarray, config: NearDupConfig) -> np.ndarray:
@@ -94,23 +99,38 @@ def _matrix(sigs: pd.Series) -> np.ndarray:
 
 
 def keyed(reps: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(key, number, first, rep): first is the smallest rep of the key in a batch. Where it is not rep itself, the row is
+    settled: rep belongs to the key of first, and only first has to be held against other batches."""
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 10_000):
+                part = batch.iloc[at : at + 10_000].sort_values("rep")
                 keys = chunk_keys(_matrix(part["sig"]), config)
                 number = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(part))
-                yield pd.DataFrame({"key": keys.ravel(), "number": number, "rep": np.repeat(part["rep"].to_numpy(), keys.shape[1])})
+                key, rep = keys.ravel(), np.repeat(part["rep"].to_numpy(), keys.shape[1])
+                order = np.argsort(key, kind="stable")
+                key, rep, number = key[order], rep[order], number[order]
+                new = np.append(True, key[1:] != key[:-1])
+                first = rep[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+                yield pd.DataFrame({"key": key, "number": number, "first": first, "rep": rep})
 
-    return reps.select("rep", "sig").mapInPandas(expand, "key long, number int, rep long")
+    return reps.select("rep", "sig").mapInPandas(expand, "key long, number int, first long, rep long")
 
 
 def memberships(keys: DataFrame) -> DataFrame:
-    """(key, first, rep) for each key with several members: first is the smallest. One pass over sorted rows, no buffer."""
+    """(key, number, first, rep) for each key with several members; over its rows, first and rep join all of them.
+
+    Settled rows go anywhere; the others meet by key, and their first is the smallest. One pass over sorted rows.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, first = None, None
+        key, leader = None, None
         for batch in batches:
+            settled = batch["settled"].to_numpy(bool)
+            if settled.any():
+                yield batch.loc[settled, ["key", "number", "first", "rep"]]
+                batch = batch[~settled]
             k, r = batch["key"].to_numpy(), batch["rep"].to_numpy()
             if not len(k):
                 continue
@@ -118,27 +138,39 @@ def memberships(keys: DataFrame) -> DataFrame:
             new[0] = k[0] != key
             new[1:] = k[1:] != k[:-1]
             at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            pivot = np.where(at < 0, first if first is not None else 0, r[np.maximum(at, 0)])
-            key, first = k[-1], pivot[-1]
+            pivot = np.where(at < 0, leader if leader is not None else 0, r[np.maximum(at, 0)])
+            key, leader = k[-1], pivot[-1]
             keep = ~new & (pivot != r)
             yield pd.DataFrame({"key": k[keep], "number": batch["number"].to_numpy()[keep], "first": pivot[keep], "rep": r[keep]})
 
-    return keys.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(scan, "key long, number int, first long, rep long")
+    keys = keys.withColumn("settled", F.col("first") != F.col("rep"))
+    keys = keys.withColumn("_to", F.when(F.col("settled"), F.xxhash64("key", "rep")).otherwise(F.col("key")))
+    return keys.repartition("_to").sortWithinPartitions("settled", "key", "rep").drop("_to").mapInPandas(scan, "key long, number int, first long, rep long")
 
 
-def texts_of(texts: DataFrame, wanted: DataFrame, config: NearDupConfig) -> DataFrame:
-    """The texts whose id may be wanted: all that are, and few others, by a bitmap over hashes of the wanted ids.
+def _parts(df: DataFrame) -> int:
+    """Tasks for work in Python, whose time a shuffle's bytes do not tell: as many as the session has for shuffles."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_bitmap(rows: DataFrame, ids: list[str], wanted: DataFrame, config: NearDupConfig) -> DataFrame:
+    """``rows`` with the columns _bit and ``_may``: whether the hash of ``ids`` is that of some row of ``wanted``.
 
-    The bitmap is broadcast; its size is fixed by ``bitmap``, whatever the number of ids. Where it fills up, more texts
-    pass and the join that follows does the rest.
+    True for all that are wanted, and for few others, by a bitmap over hashes. The bitmap is broadcast; its size is fixed by
+    ``bitmap``, whatever the number of rows. Where it fills up, more rows are true and the join that follows does the rest.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(config.bitmap))
+    place = F.pmod(F.xxhash64(*ids), F.lit(config.bitmap))
     bits = wanted.select(F.call_function("bitmap_bucket_number", place).alias("_bucket"), F.call_function("bitmap_bit_position", place).alias("_bit"))
     bitmap = bits.groupBy("_bucket").agg(F.call_function("bitmap_construct_agg", F.col("_bit")).alias("_map"))
     at = F.call_function("bitmap_bit_position", place)
     byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = texts.withColumn("_bucket", F.call_function("bitmap_bucket_number", place)).join(F.broadcast(bitmap), "_bucket")
-    return found.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select("doc_id", "text")
+    found = rows.withColumn("_bucket", F.call_function("bitmap_bucket_number", place)).join(F.broadcast(bitmap), "_bucket", "left")
+    return found.withColumn("_may", F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_bucket", "_map")
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame, config: NearDupConfig) -> DataFrame:
+    """The texts whose id may be wanted: all that are, and few others; the others are not shuffled."""
+    return _in_bitmap(texts, ["doc_id"], wanted, config).filter("_may").select("doc_id", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -152,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataF
     salted = shared_table(salted.join(parts, "a").select("a", "b", (F.col("_h") % F.col("_n")).alias("salt")))
     heads = salted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("side"))
     wanted = heads.unionByName(salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("side")))
-    rows = wanted.join(texts_of(texts, wanted, config), "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "doc_id")
+    rows = wanted.join(texts_of(texts, wanted, config), "doc_id").repartition(_parts(pairs), "a", "salt").sortWithinPartitions("a", "salt", "side", "doc_id")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, own, last = None, None, None
@@ -205,7 +237,7 @@ def _cells(members: DataFrame, config: NearDupConfig) -> DataFrame:
     m = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
     m = m.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     m = m.withColumns({"x": F.least("own", "_o"), "y": F.greatest("own", "_o")}).drop("_n", "_o")
-    return m.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return m.repartition(_parts(members), "key", "x", "y").sortWithinPartitions("key", "x", "y")
 
 
 class _Cell:
@@ -302,16 +334,53 @@ def _apart(met: DataFrame, reps: DataFrame, comp: DataFrame) -> tuple[DataFrame,
     both = met.join(comp_of, "rep").join(comp_of.select(F.col("rep").alias("first"), F.col("comp").alias("first_comp")), "first")
     apart = shared_table(both.filter("comp <> first_comp").select("key").distinct())
     rows = met.join(apart, "key", "left_semi")
-    rows = rows.select("key", "number", "rep").unionByName(rows.select("key", "number", F.col("first").alias("rep")).distinct())
+    rows = rows.select("key", "number", "rep").unionByName(rows.select("key", "number", F.col("first").alias("rep"))).distinct()
     return shared_table(rows.join(comp_of, "rep")), comp_of
 
 
 def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    return _resolved(docs, config).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component: that of the smallest id, of its texts the first by
+    hash. Texts without words and rows without an id stay, but of rows that repeat an id and a text (by a 64-bit hash) one.
+
+    Only rows that go or repeat, and few others (see ``_in_bitmap``), are shuffled with their texts.
+    """
+    rows = shared_table(_resolved(docs, config).filter("doc_id is not null"))
+    first = rows.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
+    keys = rows.join(first, "component_id", "left").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.struct("doc_id", "text_hash") != F.col("f"))).alias("_goes"))
+    special = shared_table(keys.filter("_goes or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_goes"))
+    held = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    held = _in_bitmap(held, ["_id", "_hash"], special, config)
+    some = held.filter("_may and _id is not null").join(special, ["_id", "_hash"], "left")
+    some = some.filter("_goes is null").select("_row").unionByName(some.filter("not _goes").dropDuplicates(["_id", "_hash"]).select("_row"))
+    return held.filter("not _may or _id is null").select("_row").unionByName(some).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+
+
+def _resolved(docs: DataFrame, config: NearDupConfig) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of every row."""
+    docs = docs.select("doc_id", "text")
     rows = shared_table(signed(docs, config))
-    reps = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    sets = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
+    several = shared_table(sets.filter("lo <> hi").select("doc_id"))
+    if several.isEmpty():  # ids are nodes
+        return _components_of(docs, rows.withColumn("node", F.col("doc_id")), config).drop("node")
+    # an id with several texts: each is a node, named by a hash of both
+    several = several.withColumn("_several", F.lit(True))
+    node = lambda h: F.when(F.col("_several"), F.xxhash64("doc_id", h)).otherwise(F.col("doc_id"))
+    texts = docs.join(several, "doc_id", "left").select(node(F.xxhash64("text")).alias("doc_id"), "text")
+    found = shared_table(_components_of(texts, rows.join(several, "doc_id", "left").withColumn("node", node(F.col("text_hash"))).drop("_several"), config))
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("_least"))
+    return found.join(least, "component_id", "left").select("doc_id", "text_hash", "n_shingles", F.col("_least").alias("component_id"))
+
+
+def _components_of(texts: DataFrame, rows: DataFrame, config: NearDupConfig) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node and component_id (the smallest node reached); ``texts`` is by node."""
+    reps = rows.filter("n_shingles > 0 and node is not null").groupBy("set_id").agg(F.min("node").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     reps = shared_table(reps)
-    texts = docs.select("doc_id", "text")
     size = reps.select(F.col("rep").alias("r"), "n")
     met = shared_table(memberships(keyed(reps, config)))
     # a star: each class with the member that leads most of its keys
@@ -330,9 +399,9 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
         links = links.unionByName(shared_table(verified(pairs, texts, config)))
         comp = components(links)
     classes = reps.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("_c"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node", "set_id").join(classes, "set_id", "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("node").isNotNull(), F.coalesce("_c", "node")).otherwise(F.col("node"))
+    return out.select("doc_id", "text_hash", "n_shingles", "node", component.alias("component_id"))
 
 
 def _plausible(pairs: DataFrame, size: DataFrame, config: NearDupConfig) -> DataFrame:

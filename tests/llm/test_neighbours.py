@@ -76,15 +76,6 @@ def test_pipeline(spark, sf):
     assert out.count() == n[4] and out.filter("not round_trip").count() == 0
 
 
-def test_pipeline_stages_take_odd_rows(spark, sf):
-    import corpus_pipeline
-    from helpers import documents
-
-    for rows in (documents(spark, sf).drop("_row"), documents(spark, sf).drop("_row").limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, rows, sf).count() >= 0
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf, duck, name):
     from compare import rows
