@@ -350,8 +350,8 @@ def one_of_each(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> Dat
     Only rows that go or repeat, and few others (see ``_in_bitmap``), are shuffled with their texts.
     """
     rows = shared_table(_resolved(docs, config).filter("doc_id is not null"))
-    first = rows.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
-    keys = rows.join(first, "component_id", "left").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.struct("doc_id", "text_hash") != F.col("f"))).alias("_goes"))
+    first = rows.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
+    keys = rows.join(first, "component", "left").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.struct("doc_id", "text_hash") != F.col("f"))).alias("_goes"))
     special = shared_table(keys.filter("_goes or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_goes"))
     held = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     held = _in_bitmap(held, ["_id", "_hash"], special, config)
@@ -361,24 +361,24 @@ def one_of_each(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> Dat
 
 
 def _resolved(docs: DataFrame, config: NearDupConfig) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id of every row."""
+    """doc_id, text_hash, n_shingles, component (its smallest node) and component_id (its smallest id) of every row."""
     docs = docs.select("doc_id", "text")
     rows = shared_table(signed(docs, config))
     sets = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
     several = shared_table(sets.filter("lo <> hi").select("doc_id"))
     if several.isEmpty():  # ids are nodes
-        return _components_of(docs, rows.withColumn("node", F.col("doc_id")), config).drop("node")
+        return _components_of(docs, rows.withColumn("node", F.col("doc_id")), config).withColumn("component_id", F.col("component"))
     # an id with several texts: each is a node, named by a hash of both
     several = several.withColumn("_several", F.lit(True))
     node = lambda h: F.when(F.col("_several"), F.xxhash64("doc_id", h)).otherwise(F.col("doc_id"))
     texts = docs.join(several, "doc_id", "left").select(node(F.xxhash64("text")).alias("doc_id"), "text")
     found = shared_table(_components_of(texts, rows.join(several, "doc_id", "left").withColumn("node", node(F.col("text_hash"))).drop("_several"), config))
-    least = found.groupBy("component_id").agg(F.min("doc_id").alias("_least"))
-    return found.join(least, "component_id", "left").select("doc_id", "text_hash", "n_shingles", F.col("_least").alias("component_id"))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component", "left")
 
 
 def _components_of(texts: DataFrame, rows: DataFrame, config: NearDupConfig) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node and component_id (the smallest node reached); ``texts`` is by node."""
+    """doc_id, text_hash, n_shingles and component (the smallest node reached) of every row; ``texts`` is by node."""
     reps = rows.filter("n_shingles > 0 and node is not null").groupBy("set_id").agg(F.min("node").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     reps = shared_table(reps)
     size = reps.select(F.col("rep").alias("r"), "n")
@@ -401,7 +401,7 @@ def _components_of(texts: DataFrame, rows: DataFrame, config: NearDupConfig) ->
     classes = reps.select("set_id", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("_c"))
     out = rows.select("doc_id", "text_hash", "n_shingles", "node", "set_id").join(classes, "set_id", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("node").isNotNull(), F.coalesce("_c", "node")).otherwise(F.col("node"))
-    return out.select("doc_id", "text_hash", "n_shingles", "node", component.alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component"))
 
 
 def _plausible(pairs: DataFrame, size: DataFrame, config: NearDupConfig) -> DataFrame:
