@@ -177,3 +177,13 @@ def log_and(x: Column | str, y: Column | str) -> Column:
 def log_xor(x: Column | str, y: Column | str) -> Column:
     """%LOGXOR."""
     return _c(x).bitwiseXOR(_c(y))
+
+
+def any_greater(s: Column | str, than: Column) -> Column:
+    """ANY>?: whether some element is greater; false for the empty set."""
+    return F.coalesce(F.exists(_c(s), lambda x: F.coalesce(x > than, F.lit(False))), F.lit(False))
+
+
+def any_less(s: Column | str, than: Column) -> Column:
+    """ANY<?: whether some element is less; false for the empty set."""
+    return F.coalesce(F.exists(_c(s), lambda x: F.coalesce(x < than, F.lit(False))), F.lit(False))

@@ -11,25 +11,24 @@ from pyspark.sql import functions as F
 from ..scratch import shared_table
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 10_000) -> DataFrame:
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """GLAMBDA's meaning for relations: rows are derived until none is new; a repeated goal adds nothing, so cycles end.
 
-    ``step`` derives rows of the same columns from the rows of the last round.
+    ``step`` derives rows of the same columns from the rows of the last round. There is no bound on rounds: a result is whole.
     """
     seen = frontier = shared_table(start.distinct())
-    parts = [seen]
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
         new = step(frontier).select(*start.columns).distinct()
         on = [F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in start.columns]
         fresh = shared_table(new.alias("n").join(seen.alias("s"), on, "left_anti"))
         if fresh.isEmpty():
-            break
-        parts.append(fresh)
+            return seen
+        rounds += 1
         frontier = fresh
         seen = seen.unionByName(fresh)
-        if len(parts) % 8 == 0:
+        if rounds % 8 == 0:
             seen = shared_table(seen)  # few large files instead of a long union
-    return seen
 
 
 def get_star(roots: DataFrame, edges: DataFrame) -> DataFrame:

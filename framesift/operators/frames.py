@@ -185,8 +185,9 @@ class FrameStore:
         return closures.inherit_values(roots, self.edges(through), self.get(slot).select(F.col("oid").cast("string").alias("oid"), "value"))
 
     def assoc_get(self, slot: str, key: str) -> DataFrame:
-        """FD:ASSOC-GET on values "key=value": the values of entries whose key matches."""
-        return self.pget(slot).filter(F.col("value").startswith(f"{key}=")).select("oid", F.substring_index("value", "=", -1).alias("value")).distinct()
+        """FD:ASSOC-GET on values "key=value": the values of entries whose key matches, whole, with any further "="."""
+        entries = self.pget(slot).filter(F.col("value").startswith(f"{key}="))
+        return entries.select("oid", F.col("value").substr(F.lit(len(key) + 2), F.length("value")).alias("value")).distinct()
 
     def car_get(self, slot: str) -> DataFrame:
         """FD:CAR-GET, FD:PAIRED-GET on values "car=cdr"; what is no pair counts itself."""

@@ -37,9 +37,9 @@ def choice_intersection(spark, d):
     return C.intersection(_rich(spark, d), t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("custkey")))
 
 
-@query("choice_difference", "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("choice_difference", "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def choice_difference(spark, d):
-    return C.difference(_cust(spark, d), _buyers(spark, d))
+    return C.difference(_cust(spark, d), t(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey")))
 
 
 @query("choice_identical", "SELECT NOT EXISTS (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer) AND NOT EXISTS (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation) AS identical")
@@ -127,9 +127,9 @@ def total_order_strings(spark, d):
     return names.select("p_name", F.dense_rank().over(Window.orderBy(order.order_key(F.col("p_name"), "string"))).cast("long").alias("place"))
 
 
-@query("elements", "SELECT DISTINCT unnest(embedding[1:2]) AS element FROM embeddings WHERE vec_id < 50")
+@query("elements", "SELECT DISTINCT unnest(embedding) AS element FROM embeddings")
 def elements(spark, d):
-    return C.elements(t(spark, d, "embeddings").filter("vec_id < 50").withColumn("s", F.slice("embedding", 1, 2)), "s")
+    return C.elements(t(spark, d, "embeddings"), "embedding")
 
 
 @query("choices_to_vector", "SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM customer GROUP BY 1")
@@ -248,3 +248,37 @@ def hashset_filter(spark, d):
 @query("hashset_intern", "SELECT count(DISTINCT p_type) AS n FROM part")
 def hashset_intern(spark, d):
     return T.intern(t(spark, d, "part"), "p_type").agg(F.countDistinct("hash").alias("n"))
+
+
+@query("set_bounds", "SELECT o_custkey AS custkey, max(o_totalprice) > 400000 AS dear, min(o_totalprice) < 2000 AS cheap, bool_and(o_totalprice > 1000) AS every, bool_or(o_orderdate < DATE '1993-01-01') AS some FROM orders GROUP BY 1")
+def set_bounds(spark, d):
+    from ..functions import sequences as Q
+
+    sets = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.collect_set("o_totalprice").alias("prices"), F.collect_set("o_orderdate").alias("days"))
+    return sets.select(
+        "custkey", S.any_greater("prices", F.lit(400000)).alias("dear"), S.any_less("prices", F.lit(2000)).alias("cheap"),
+        Q.every("prices", lambda x: x > 1000).alias("every"), Q.some("days", lambda x: x < F.lit("1993-01-01").cast("date")).alias("some"),
+    )
+
+
+@query("proper_choices", "SELECT p_partkey, p_size % 3 <> p_size % 5 AS proper, p_size % 3 = 0 OR p_size % 5 = 0 AS satisfied FROM part")
+def proper_choices(spark, d):
+    pair = F.array(F.col("p_size") % 3, F.col("p_size") % 5)
+    return t(spark, d, "part").select("p_partkey", S.is_proper_choice(pair).alias("proper"), F.exists(pair, lambda x: x == 0).alias("satisfied"))
+
+
+@query("do_results", "SELECT conv_id, turn, length(text) AS n FROM conversations WHERE text IS NOT NULL")
+def do_results(spark, d):
+    def body(batches):
+        for b in batches:
+            yield b.assign(n=b["text"].map(len).astype("int64"))[["conv_id", "turn", "n"]]
+
+    c = t(spark, d, "conversations").filter("text is not null")
+    kind = dict(c.dtypes)
+    return C.do_results(c.select("conv_id", "turn", "text"), body, f"conv_id {kind['conv_id']}, turn {kind['turn']}, n long")
+
+
+@query("sorted_dearest", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 40")
+def sorted_dearest(spark, d):
+    """A top list: the first 40 of all parts in sorted order."""
+    return C.sorted_(t(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("p_retailprice").desc(), F.col("p_partkey")).limit(40)

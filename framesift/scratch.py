@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/framesift"
+    """The shared folder of ``spark.checkpoint.dir``. Without it, a local session gets a folder of its own; a cluster, whose
+    machines share no local folder, an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file:///tmp/checkpoints/framesift"
 
 
 def shared_table(df: DataFrame, *, partitions: int | None = None) -> DataFrame:

@@ -265,3 +265,37 @@ def test_change_feed(spark):
     assert col(changes.changes_since(log, 2)) == ["j"]
     assert changes.needs_refresh(changes.ring(log, 1), 1).first()["refresh"]
     assert not changes.needs_refresh(changes.ring(log, 1), 2).first()["refresh"]
+
+
+def test_closure_of_a_long_chain_is_whole(spark):
+    from framesift.operators import closures
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(24)], "src int, dst int")
+    assert closures.get_star(spark.createDataFrame([(0,)], "root int"), edges).count() == 25
+
+
+def test_association_values_keep_their_signs(spark):
+    from framesift.operators.frames import FrameStore
+
+    store = FrameStore(spark.createDataFrame([("o", "s", "click=a=b"), ("o", "s", "clicks=c"), ("p", "s", "click=")], "oid string, slot string, value string"))
+    assert sorted(map(tuple, store.assoc_get("s", "click").collect())) == [("o", "a=b"), ("p", "")]
+    assert [r.oid for r in store.assoc_test("s", "click", "a=b").collect()] == ["o"]
+
+
+def test_names_begin_with_no_function_word():
+    from framesift.functions.text import names_in
+
+    assert names_in("After Mary Jones left, Because of it During June Dr. Paul Smith came.") == ["Dr. Paul Smith", "June", "Mary Jones"]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    from framesift import scratch
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://one:7077"})
+
+    with pytest.raises(RuntimeError):
+        scratch.checkpoint_root(Cluster())
