@@ -90,7 +90,7 @@ _ARTICLES = "the a an this that these those some any each every no all both eith
 _PRONOUNS = "i you he she it we they me him her us them my your his its our their mine yours hers ours theirs who whom whose which what"
 _PREPOSITIONS = "about above across after against along among around as at before behind below beneath beside between beyond by despite down during except for from in inside into like near of off on onto out outside over past since through throughout till to toward under until up upon with within without"
 _CONJUNCTIONS = "and or but nor so yet if because although though unless while whereas whether when whenever where wherever why how than then once"
-_ADVERBS = "also again already always even ever here however indeed instead just maybe meanwhile moreover never not now often only otherwise perhaps quite rather really sometimes soon still there therefore thus today too tomorrow very well yes yesterday"
+_ADVERBS = "also again already always even ever here however indeed instead just maybe meanwhile moreover never not often only otherwise perhaps quite rather really sometimes soon still there therefore thus too very well yes"
 STOPS = tuple(sorted({w.capitalize() for w in f"{_ARTICLES} {_PRONOUNS} {_PREPOSITIONS} {_CONJUNCTIONS} {_ADVERBS}".split()}))
 SUFFIXES = ("Jr.", "Sr.", "II", "III", "Inc.", "Ltd.", "Corp.")
 
