@@ -11,6 +11,8 @@ import pkgutil
 import re
 
 PACKAGES = ("operators", "functions", "sources", "streaming")
+#: Words that docstrings write in capitals and that name no operator.
+NO_OPERATORS = frozenset("JVM HTML XML URL URI SQL UTF ASCII WRITE NAMES OPEN HANDLE-DATA UDF MD5 ISO UTC".split())
 _NAME = re.compile(r"(?<![A-Za-z])(?:%|FD:|\$)?[A-Z][A-Z0-9]*(?:(?:->|[-:+*/<>=])[A-Z0-9%]+)*[?!%*+]?(?![a-z])")
 
 
@@ -29,7 +31,7 @@ def coverage() -> dict[str, list[str]]:
                     f = f.__func__ if isinstance(f, staticmethod) else f
                     if name.startswith("_") or not callable(f) or getattr(f, "__module__", module.__name__) != module.__name__:
                         continue
-                    names = {m[0] for m in _NAME.finditer(f.__doc__ or "") if len(m[0]) > 1}
+                    names = {m[0] for m in _NAME.finditer(f.__doc__ or "") if len(m[0]) > 1} - NO_OPERATORS
                     plain = name.strip("_").replace("_to_", "->").replace("_", "-").upper()
                     names.add(plain.removeprefix("IS-") + "?" if plain.startswith("IS-") else plain.removesuffix("-PERCENT") + "%" if plain.endswith("-PERCENT") else plain)
                     for operator in names:
