@@ -257,8 +257,14 @@ def _ready(data: bytes) -> tuple:
     key = hash(data)
     if key not in _cache:
         m = parse_model(data)
-        _cache[key] = (m, Encoder(m), Decoder(m))
-    return _cache[key]
+        encoder = Encoder(m)
+        _cache[key] = (m, encoder.whole, Decoder(m), encoder)
+    return _cache[key][:3]
+
+
+def _encoder(data: bytes) -> Encoder:
+    _ready(data)
+    return _cache[hash(data)][3]
 
 
 ENCODED = "doc_id long, input_ids array<int>, n_tokens long, n_bytes_fallback long, round_trip boolean, parity boolean"
@@ -277,7 +283,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, parity_every: int = 64
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
-        m, encoder, decoder = _ready(data)
+        (m, _, decoder), encoder = _ready(data), _encoder(data)
         original = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
