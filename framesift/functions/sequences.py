@@ -221,7 +221,7 @@ def _is(x, *starts: str) -> Column:
 
 
 def is_null(x) -> Column:
-    """NULL?, VOID?: absent, or an empty list."""
+    """NULL?, VOID?: absent."""
     return _c(x).isNull()
 
 

@@ -7,12 +7,12 @@ table, which is meant to be written partitioned by slot, so that a slot is a pru
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import closures
+from .masks import all_hold
 
 SLOTS = ["oid", "slot", "value"]
 
@@ -82,9 +82,7 @@ class FrameStore:
 
     def pick(self, *clauses: tuple[str, list]) -> DataFrame:
         """PICK: frames that satisfy every (slot, values) pair. One scan, one grouped bit mask instead of n joins."""
-        bit = reduce(lambda a, x: a.bitwiseOR(x), (F.when((F.col("slot") == s) & F.col("value").isin(*map(str, v)), F.lit(1 << i)).otherwise(F.lit(0)) for i, (s, v) in enumerate(clauses)))
-        rows = self.slots.filter(reduce(lambda a, x: a | x, ((F.col("slot") == s) & F.col("value").isin(*map(str, v)) for s, v in clauses)))
-        return rows.groupBy("oid").agg(F.bit_or(bit).alias("m")).filter(F.col("m") == (1 << len(clauses)) - 1).select("oid")
+        return all_hold(self.slots, list(clauses))
 
     def frame_slots(self) -> DataFrame:
         """FRAME-SLOTS, FSLOTS."""

@@ -6,39 +6,21 @@ map-side. Clauses made from sample frames become joins; candidates' hot values a
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .index import Index
-
-Clause = tuple[str | list[str], list]
-
-
-def _hit(clause: Clause) -> Column:
-    slots, values = clause
-    names = [slots] if isinstance(slots, str) else slots
-    return F.col("slot").isin(*names) & F.col("value").isin(*map(str, values))
-
-
-def _masked(index: Index, clauses: list[Clause]) -> DataFrame:
-    """(oid, m): bit i is set if clause i holds. Up to 62 clauses."""
-    if not 0 < len(clauses) <= 62:
-        raise ValueError("from 1 to 62 clauses")
-    rows = index.postings.filter(reduce(lambda a, b: a | b, map(_hit, clauses)))
-    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(_hit(c), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(clauses)))
-    return rows.groupBy("oid").agg(F.bit_or(bits).alias("m"))
+from .masks import Clause, all_hold, count_held
 
 
 def find_frames(index: Index, *clauses: Clause) -> DataFrame:
     """FIND-FRAMES: or inside a clause, and across clauses; a clause without postings empties the result."""
-    return _masked(index, list(clauses)).filter(F.col("m") == (1 << len(clauses)) - 1).select("oid")
+    return all_hold(index.postings, list(clauses))
 
 
 def scores(index: Index, *clauses: Clause, candidates: DataFrame | None = None) -> DataFrame:
     """GET-SCORES: (oid, score), the number of clauses that hold the frame."""
-    out = _masked(index, list(clauses)).select("oid", F.bit_count("m").cast("long").alias("score"))
+    out = count_held(index.postings, list(clauses))
     return out if candidates is None else out.join(candidates.select("oid").distinct(), "oid", "left_semi")
 
 

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
-from . import frames, scalars, sets, worlds  # noqa: E402,F401  registers the queries
+from . import frames, scalars, sets, values, worlds  # noqa: E402,F401  registers the queries

@@ -299,3 +299,14 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(RuntimeError):
         scratch.checkpoint_root(Cluster())
+
+
+def test_more_clauses_than_bits(spark):
+    rows = spark.createDataFrame([(1, "s", str(i)) for i in range(130)] + [(2, "s", str(i)) for i in range(129)] + [(3, "s", "129")], "oid long, slot string, value string")
+    clauses = [("s", [i]) for i in range(130)]
+    index = Index.index_values(rows)
+    assert [r.oid for r in search.find_frames(index, *clauses).collect()] == [1]
+    assert {r.oid: r.score for r in search.scores(index, *clauses).collect()} == {1: 130, 2: 129, 3: 1}
+    assert [r.oid for r in FrameStore(rows).pick(*clauses).collect()] == [1]
+    with pytest.raises(ValueError):
+        search.find_frames(index)
