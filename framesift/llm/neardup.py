@@ -349,10 +349,15 @@ def one_of_each(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> Dat
 
     Only rows that go or repeat, and few others (see ``_in_bitmap``), are shuffled with their texts.
     """
-    rows = shared_table(_resolved(docs, config).filter("doc_id is not null"))
-    first = rows.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"))
-    keys = rows.join(first, "component", "left").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max((F.col("n_shingles") > 0) & (F.struct("doc_id", "text_hash") != F.col("f"))).alias("_goes"))
-    special = shared_table(keys.filter("_goes or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_goes"))
+    rows = _resolved(docs, config).filter("doc_id is not null").groupBy("doc_id", "text_hash")
+    rows = shared_table(rows.agg(F.count("*").alias("n"), F.max(F.col("n_shingles") > 0).alias("linked"), F.min("component").alias("component"), F.min("component_id").alias("component_id")))
+    # an id that is not its component's smallest goes; only texts under the smallest id are compared
+    heads = rows.filter("linked and doc_id = component_id").select("doc_id", "text_hash", "component")
+    least = heads.groupBy("doc_id", "component").agg(F.min("text_hash").alias("least"), F.count("*").alias("m")).filter("m > 1")
+    behind = heads.join(least, ["doc_id", "component"]).filter("text_hash <> least").select("doc_id", "text_hash", F.lit(True).alias("behind"))
+    goes = F.col("linked") & ((F.col("doc_id") != F.col("component_id")) | F.col("behind").isNotNull())
+    special = rows.join(behind, ["doc_id", "text_hash"], "left").withColumn("_goes", goes).filter("_goes or n > 1")
+    special = shared_table(special.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_goes"))
     held = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     held = _in_bitmap(held, ["_id", "_hash"], special, config)
     some = held.filter("_may and _id is not null").join(special, ["_id", "_hash"], "left")
