@@ -67,11 +67,13 @@ def reverse(a) -> Column:
 
 
 def every(test: Callable[[Column], Column], a) -> Column:
-    return F.forall(_c(a), test)
+    """EVERY?: whether all elements pass; true for the empty sequence."""
+    return F.forall(_c(a), lambda x: F.coalesce(test(x), F.lit(False)))
 
 
 def some(test: Callable[[Column], Column], a) -> Column:
-    return F.exists(_c(a), test)
+    """SOME?: whether some element passes; false for the empty sequence."""
+    return F.exists(_c(a), lambda x: F.coalesce(test(x), F.lit(False)))
 
 
 def map_(body: Callable[[Column], Column], a) -> Column:
@@ -253,13 +255,3 @@ def is_record(x) -> Column:
 
 def is_slotmap(x) -> Column:
     return _is(x, "map", "struct")
-
-
-def every(seq: Column | str, test) -> Column:
-    """EVERY?: whether all elements pass; true for the empty sequence."""
-    return F.forall(F.col(seq) if isinstance(seq, str) else seq, lambda x: F.coalesce(test(x), F.lit(False)))
-
-
-def some(seq: Column | str, test) -> Column:
-    """SOME?: whether some element passes; false for the empty sequence."""
-    return F.exists(F.col(seq) if isinstance(seq, str) else seq, lambda x: F.coalesce(test(x), F.lit(False)))

@@ -257,7 +257,7 @@ def set_bounds(spark, d):
     sets = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.collect_set("o_totalprice").alias("prices"), F.collect_set("o_orderdate").alias("days"))
     return sets.select(
         "custkey", S.any_greater("prices", F.lit(400000)).alias("dear"), S.any_less("prices", F.lit(2000)).alias("cheap"),
-        Q.every("prices", lambda x: x > 1000).alias("every"), Q.some("days", lambda x: x < F.lit("1993-01-01").cast("date")).alias("some"),
+        Q.every(lambda x: x > 1000, "prices").alias("every"), Q.some(lambda x: x < F.lit("1993-01-01").cast("date"), "days").alias("some"),
     )
 
 
