@@ -12,11 +12,11 @@ from ..functions import strings as T
 from ..operators import choices as C
 from ..operators import pools, search, tables
 from ..operators.index import Index
+from . import frames
 from .catalog import query
-from .frames import PART_SLOTS, parts
 from .sets import t
 
-_POSTINGS = " UNION ".join(f"SELECT p_partkey AS oid, '{s}' AS slot, CAST({s} AS VARCHAR) AS value FROM part" for s in PART_SLOTS)
+_POSTINGS = " UNION ".join(f"SELECT p_partkey AS oid, '{s}' AS slot, CAST({s} AS VARCHAR) AS value FROM part" for s in ("p_brand", "p_type", "p_size", "p_name"))
 
 
 # numbers
@@ -215,7 +215,7 @@ def pick_one(spark, d):
 @query("index_features", f"{_POSTINGS} UNION SELECT p_partkey, 'cheap', 'yes' FROM part WHERE p_retailprice < 1000")
 def index_features(spark, d):
     cheap = t(spark, d, "part").filter("p_retailprice < 1000").select(F.col("p_partkey").alias("oid"), F.lit("cheap").alias("slot"), F.lit("yes").alias("value"))
-    return Index.index_frames(parts(spark, d)).add_rows(cheap).features()
+    return Index.index_frames(frames.parts(spark, d)).add_rows(cheap).features()
 
 
 @query("index_prefetch", "SELECT p_partkey AS oid, 'p_brand' AS slot, p_brand AS value FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 1)")
