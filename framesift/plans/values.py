@@ -52,7 +52,7 @@ def curves(spark, d):
 )
 def simplest_fraction(spark, d):
     q = N.rationalize(F.col("p_size") / F.lit(60.0), 0.001)
-    return t(spark, d, "part").select("p_partkey", q["den"].alias("den"), q["num"].alias("num"))
+    return t(spark, d, "part").select("p_partkey", q.alias("q")).select("p_partkey", F.col("q")["den"].alias("den"), F.col("q")["num"].alias("num"))
 
 
 @query(
