@@ -159,12 +159,25 @@ def geodirection(spark, d):
 
 @query("geo_range_join", f"SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON {_LAT} BETWEEN (s_suppkey % 50) - 1.5 AND (s_suppkey % 50) + 1.5")
 def geo_range_join(spark, d):
-    """A range join as a join on equal quantised keys and an exact test."""
-    lat = F.expr(f"cast({_LAT} as double)")
-    c = t(spark, d, "customer").select("c_custkey", lat.alias("lat"), F.explode(G.latrange(lat, 1.0)).alias("cell"))
-    mid = (F.col("s_suppkey") % 50).cast("double")
-    s = t(spark, d, "supplier").select("s_suppkey", mid.alias("mid"), F.explode(G.span_keys(mid - 2, mid + 2, 1.0)).alias("cell"))
-    return s.join(c, "cell").filter((F.col("lat") >= F.col("mid") - 1.5) & (F.col("lat") <= F.col("mid") + 1.5)).select("s_suppkey", "c_custkey").distinct()
+    """A range join as a join on equal quantised keys and an exact test, made between places and not between rows.
+
+    The rows of one place come in lists of bounded length. Pairs of lists are dealt over the tasks before they are
+    expanded, so a crowded place isn't one task's work. Every pair of rows arises once, for a place has one cell.
+    """
+    c = _lists(t(spark, d, "customer").select("c_custkey", F.expr(f"cast({_LAT} as double)").alias("lat")), "lat", "c_custkey", "c")
+    c = c.withColumn("cell", F.explode(G.latrange("lat", 1.0)))
+    s = _lists(t(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50).cast("double").alias("mid")), "mid", "s_suppkey", "s")
+    s = s.withColumn("cell", F.explode(G.span_keys(F.col("mid") - 2, F.col("mid") + 2, 1.0)))
+    near = s.join(c, "cell").filter((F.col("lat") >= F.col("mid") - 1.5) & (F.col("lat") <= F.col("mid") + 1.5))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = near.select("mid", "lat", "s", "c", "ss", "cs").repartition(tasks, "mid", "lat", "s", "c")
+    return dealt.select(F.explode("ss").alias("s_suppkey"), "cs").select("s_suppkey", F.explode("cs").alias("c_custkey"))
+
+
+def _lists(rows, place, oid, name):
+    """Ids by place and stretch of 16,384 rows, as ``name`` (the stretch) and ``name`` + s (the list): no list is longer than a stretch."""
+    rows = rows.withColumn(name, F.shiftright(F.monotonically_increasing_id(), 14))
+    return rows.groupBy(place, name).agg(F.collect_list(oid).alias(f"{name}s"))
 
 
 # pools

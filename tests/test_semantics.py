@@ -1,6 +1,7 @@
 """Golden values: sets, orders, searches, closures and scalars on small inputs."""
 
 import pytest
+from compare import rows
 from pyspark.sql import functions as F
 
 from framesift.functions import markup, numbers, order, patterns, sequences, sets, strings, text, times, urls
@@ -224,6 +225,23 @@ def test_dms_keys_near_whole_degrees(spark, tmp_path):
     assert got == dict(duckdb.connect().sql(sql).fetchall()) and got[1] == "+044"
 
 
+def test_geo_range_join_repeated_keys_and_one_place(spark, tmp_path):
+    """Rows of one key each count, as in the SQL, also where all customers share a latitude and fill several lists."""
+    import duckdb
+
+    from framesift.plans import catalog
+
+    customers, suppliers = [*(120 * i + 70 for i in range(20_000)), 70, 70, 71, 72, 9, -50, None], [10, 10, 60, 9, 12, -1, None]
+    for name, key, keys in (("customer", "c_custkey", customers), ("supplier", "s_suppkey", suppliers)):
+        spark.createDataFrame([(k,) for k in keys], f"{key} long").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = catalog.QUERIES["geo_range_join"](spark, str(tmp_path)).groupBy("s_suppkey", "c_custkey").count().toPandas()
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(f"SELECT s_suppkey, c_custkey, count(*) AS count FROM ({catalog.SQL['geo_range_join']}) GROUP BY ALL").df()
+    assert rows(got) == rows(want) and got["count"].max() == 6
+
+
 def test_urls_and_markup(spark):
     m = urls.url_to_slotmap(F.lit("http://a.b.org:81/x/y.tar.gz?q=1#f"))
     r = one(spark, urls.slotmap_to_url(m), m["suffix"], urls.normalize_url(F.lit("../z.html"), F.lit("http://h/a/b/c.html")), urls.get_domains(F.lit("a.b.c")), markup.xml_get(F.lit("<r><a>1</a><a>2</a></r>"), "a"), markup.unparse_markup(markup.parse_xml(F.lit("<r i='1'>x<b/>y</r>"))), markup.parse_xml(F.lit("<r>")), markup.read_mime(F.lit("A: b\n\nbody")))
